@@ -65,6 +65,7 @@ def ranked(df: DataFrame, key: str, order: list[str], out: str = "rank", salts:
 
     Rows of a key are dealt to ``salts`` parts by a hash of ``order``; each part is numbered by
     ``order`` and starts where the parts before it end. A hot key is as even as any other.
+    ``key`` must hold no null (the window and the join then share one exchange of ``df``).
     ``df`` is read twice, so stage what is costly. ``order`` should be unique within a key;
     exact ties are numbered in an arbitrary order.
     """
@@ -72,7 +73,46 @@ def ranked(df: DataFrame, key: str, order: list[str], out: str = "rank", salts:
     d = df.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
     sizes = d.groupBy(key, "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(F.col(key).alias("_key"), F.col("_part").alias("_at"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    sizes = sizes.select(key, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     d = d.withColumn("_row", F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order)))
-    d = d.join(sizes, (F.col(key).eqNullSafe(F.col("_key"))) & (F.col("_part") == F.col("_at")), "left")
-    return d.withColumn(out, (F.col("_before") + F.col("_row") - 1).cast("long")).drop("_part", "_key", "_at", "_before", "_row")
+    d = d.join(sizes, [key, "_part"], "left")
+    return d.withColumn(out, (F.col("_before") + F.col("_row") - 1).cast("long")).drop("_part", "_before", "_row")
+
+
+def runs(batches, keys: list[str]):
+    """From Arrow batches sorted by ``keys``: each run of equal keys, with its rows as one table."""
+    import numpy as np
+    import pyarrow as pa
+
+    now, held = None, []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = np.stack([b.column(k).to_numpy(zero_copy_only=False).astype("i8") for k in keys])
+        ends = [*(np.flatnonzero((cols[:, 1:] != cols[:, :-1]).any(axis=0)) + 1).tolist(), b.num_rows]
+        at = 0
+        for end in ends:
+            key = tuple(cols[:, at].tolist())
+            if key != now:
+                if held:
+                    yield now, pa.Table.from_batches(held)
+                now, held = key, []
+            held.append(b.slice(at, end - at))
+            at = end
+    if held:
+        yield now, pa.Table.from_batches(held)
+
+
+def matrix(lists):
+    """Lists of numbers as rows of one float64 matrix, the shorter ones filled up with zeros."""
+    import numpy as np
+
+    lists = lists.combine_chunks() if hasattr(lists, "combine_chunks") else lists
+    sizes = np.diff(lists.offsets.to_numpy())
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype("f8")
+    d = int(sizes.max()) if len(sizes) else 0
+    if len(sizes) and (sizes == d).all():
+        return flat.reshape(len(sizes), d)
+    out = np.zeros((len(sizes), d))
+    out[np.arange(d) < sizes[:, None]] = flat
+    return out
