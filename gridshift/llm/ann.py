@@ -13,8 +13,8 @@ from . import common
 CURVES = 2
 #: Projected dimensions and bits a dimension; their product is at most 62.
 DIMS, BITS = 8, 7
-#: Rows of one key range ("bucket") of a curve.
-BUCKET = 2048
+#: Rows of one key range ("bucket") of a curve, and of the stretch of neighbouring buckets that is one unit of work.
+BUCKET, STRETCH = 2048, 8192
 #: Queries that meet a bucket in one unit of work, about.
 QUERY_BLOCK = 4096
 #: The windows' width is measured on this many queries, and is the least that finds this share of their true neighbours.
@@ -68,8 +68,10 @@ def _units(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt((vectors * vectors).sum(axis=1))[:, None]
 
 
-def nearest(queries: np.ndarray, qids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int):
-    """Each query's k nearest of a block of rows, as (query, row, score) arrays; ties to smaller ids.
+def nearest(queries: np.ndarray, qids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, beyond: np.ndarray | None = None):
+    """Each query's k nearest of a block of rows, as (query, row, score) rows; ties to smaller ids.
+
+    ``beyond`` (queries x rows) marks the pairs outside of the query's window.
 
     A matrix product picks all rows that may be among the k; those few are scored again one by one,
     so that a pair's score is the same wherever it is met.
@@ -79,6 +81,8 @@ def nearest(queries: np.ndarray, qids: np.ndarray, rows: np.ndarray, ids: np.nda
         return out
     near = _units(queries) @ _units(rows).T
     near[qids[:, None] == ids[None, :]] = -np.inf
+    if beyond is not None:
+        near[beyond] = -np.inf
     norms = np.sqrt((rows * rows).sum(axis=1))
     for i in range(len(queries)):
         line = near[i]
@@ -117,8 +121,9 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 def search(vectors: DataFrame, every: int = 50, k: int = 5, curves: int = CURVES, bucket: int = BUCKET) -> DataFrame:
     """The k nearest found, by cosine, of each row whose vec_id is divisible by ``every``.
 
-    All rows are ordered along several Hilbert curves and range-partitioned; a query meets the
-    buckets within ``width`` of its own on each curve, and what the curves find is merged and
+    All rows are ordered along several Hilbert curves and range-partitioned into buckets; a query meets the
+    buckets within ``width`` of its own on each curve (neighbouring buckets are merged into
+    stretches, each searched as one unit), and what the curves find is merged and
     ranked again by the exact cosine. ``width`` is measured: the true neighbours of at most
     CALIBRATION queries (found by scanning all rows) tell the least width that reaches RECALL.
     On data without structure that is most of the curve; it is never capped.
@@ -158,21 +163,23 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, curves: int = CURVES
     width = _width(at, every, k, curves, buckets)
 
     asked = at.where(F.col("vec_id") % every == 0)
-    per_bucket = -(-n // every) * (2 * width + 1) / buckets
-    blocks = max(1, math.ceil(min(per_bucket, n / every) / QUERY_BLOCK))
-    rows = at.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("asks", F.lit(0))
-    asked = asked.withColumn("bucket", F.explode(F.sequence(F.greatest(F.lit(0), F.col("bucket") - width), F.least(F.lit(buckets - 1), F.col("bucket") + width))))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("asks", F.lit(1))
-    units = rows.select("curve", "bucket", "block", "asks", "vec_id", "embedding").unionByName(asked.select("curve", "bucket", "block", "asks", "vec_id", "embedding"))
-    units = units.repartition("curve", "bucket", "block").sortWithinPartitions("curve", "bucket", "block", "asks")
+    stretch = max(1, round(STRETCH * buckets / n))
+    per_stretch = n / every * (2 * width + stretch) / buckets
+    blocks = max(1, math.ceil(min(per_stretch, n / every) / QUERY_BLOCK))
+    names = ["curve", "stretch", "block", "asks", "bucket", "vec_id", "embedding"]
+    rows = at.withColumn("stretch", F.expr(f"bucket div {stretch}")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("asks", F.lit(0))
+    ends = f"greatest(0, bucket - {width}) div {stretch}", f"least({buckets - 1}, bucket + {width}) div {stretch}"
+    asked = asked.withColumn("stretch", F.explode(F.sequence(*map(F.expr, ends)))).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("asks", F.lit(1))
+    units = rows.select(names).unionByName(asked.select(names)).repartition("curve", "stretch", "block").sortWithinPartitions("curve", "stretch", "block", "asks")
 
     def score(batches):
-        for _, t in common.runs(batches, ["curve", "bucket", "block"]):
+        for _, t in common.runs(batches, ["curve", "stretch", "block"]):
             asks = t.column("asks").to_numpy() == 1
-            ids, m = t.column("vec_id").to_numpy(), common.matrix(t.column("embedding"))
-            q, qids, rows, rids = m[asks], ids[asks], m[~asks], ids[~asks]
+            ids, bucket, m = t.column("vec_id").to_numpy(), t.column("bucket").to_numpy(), common.matrix(t.column("embedding"))
+            q, qids, qb, rows, rids, rb = m[asks], ids[asks], bucket[asks], m[~asks], ids[~asks], bucket[~asks]
             for i in range(0, len(q), 256):
-                yield _batch(nearest(q[i : i + 256], qids[i : i + 256], rows, rids, k))
+                beyond = np.abs(qb[i : i + 256, None] - rb[None, :]) > width
+                yield _batch(nearest(q[i : i + 256], qids[i : i + 256], rows, rids, k, beyond))
 
     return _ranked(units.mapInArrow(score, FOUND), k)
 
