@@ -69,13 +69,12 @@ QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_quality, op4_mi
 
 ORACLE_SQL: dict[str, str] = {
     "op9_topk": """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
-  FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+WITH u AS (
+  SELECT vec_id, unnest(range(len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings WHERE vec_id IS NOT NULL
+), bad AS (
+  SELECT DISTINCT vec_id FROM u WHERE x IS NULL OR NOT isfinite(x)
 ), c AS (
-  SELECT vec_id, unnest(range(len(e))) AS i, unnest(e) AS x FROM v
+  SELECT vec_id, i, CAST(floor(64 * x) AS BIGINT) AS x FROM u ANTI JOIN bad USING (vec_id)
 ), s AS (
   SELECT q.vec_id AS query_id, r.vec_id AS vec_id, CAST(sum(q.x * r.x) AS BIGINT) AS score
   FROM c AS q JOIN c AS r ON q.i = r.i AND q.vec_id <> r.vec_id
