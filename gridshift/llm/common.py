@@ -70,13 +70,13 @@ def ranked(df: DataFrame, key: str, order: list[str], out: str = "rank", salts:
     exact ties are numbered in an arbitrary order.
     """
     salts = salts or max(16, partitions(df.sparkSession))
-    d = df.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
-    sizes = d.groupBy(key, "_part").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(key, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    d = d.withColumn("_row", F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order)))
-    d = d.join(sizes, [key, "_part"], "left")
-    return d.withColumn(out, (F.col("_before") + F.col("_row") - 1).cast("long")).drop("_part", "_before", "_row")
+    d = df.withColumn("__rank_part", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
+    sizes = d.groupBy(key, "__rank_part").agg(F.count("*").alias("__rank_n"))
+    before = Window.partitionBy(key).orderBy("__rank_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(key, "__rank_part", F.coalesce(F.sum("__rank_n").over(before), F.lit(0)).alias("__rank_before"))
+    d = d.withColumn("__rank_row", F.row_number().over(Window.partitionBy(key, "__rank_part").orderBy(*order)))
+    d = d.join(sizes, [key, "__rank_part"], "left")
+    return d.withColumn(out, (F.col("__rank_before") + F.col("__rank_row") - 1).cast("long")).drop("__rank_part", "__rank_before", "__rank_row")
 
 
 def runs(batches, keys: list[str]):

@@ -121,22 +121,22 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     names = [c for c in docs.columns if c not in ("mix_block", "mix_position")]
     d = docs.select(*(F.col(f"`{c}`") for c in names))
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    sizes = d.groupBy(source.alias("_source")).agg(F.count("*").alias("n"))
-    top = sizes.orderBy(F.desc("n"), "_source").limit(named).collect()
+    sizes = d.groupBy(source.alias("__mix_source")).agg(F.count("*").alias("n"))
+    top = sizes.orderBy(F.desc("n"), "__mix_source").limit(named).collect()
     total = d.count()
     if not total:
         return d.withColumn("mix_block", F.lit(0).cast("long")).withColumn("mix_position", F.lit(0).cast("long"))
     counts = [r["n"] for r in top] + [total - sum(r["n"] for r in top)]
     if weights:
         least = min(weights.values())
-        target = [weights.get(r["_source"], least) for r in top] + [least]
+        target = [weights.get(r["__mix_source"], least) for r in top] + [least]
     else:
         target = [n**0.5 for n in counts]
     placer = Placer(counts, [max(w, 1e-12) for w in target], block, period)
-    number = F.create_map(*(x for k, r in enumerate(top) for x in (F.lit(r["_source"]), F.lit(k))))
-    d = d.withColumn("_class", F.coalesce(number[source], F.lit(len(top))))
-    d = common.ranked(d.withColumn("_hash", F.xxhash64("doc_id")), "_class", ["_hash", "doc_id"], "_rank").drop("_hash")
-    at = d.columns.index("_class"), d.columns.index("_rank")
+    number = F.create_map(*(x for k, r in enumerate(top) for x in (F.lit(r["__mix_source"]), F.lit(k))))
+    d = d.withColumn("__mix_class", F.coalesce(number[source], F.lit(len(top))))
+    d = common.ranked(d.withColumn("__mix_hash", F.xxhash64("doc_id")), "__mix_class", ["__mix_hash", "doc_id"], "__mix_rank").drop("__mix_hash")
+    at = d.columns.index("__mix_class"), d.columns.index("__mix_rank")
 
     def place(batches):
         import pyarrow as pa
