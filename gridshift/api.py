@@ -7,9 +7,8 @@ from typing import Any
 
 import numpy as np
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
-from .functions.encoding import PACKING, encode_attributes, pack
+from .functions.encoding import PACKING, encode_attributes, pack_all
 from .functions.geometry import dim_chunks_to_targets, shape_dict_to_tuple
 from .meta import DIMENSION_KEY
 from .operators.pipeline import ArrayProxy, Copies, CopySpec, executor as named_executor
@@ -160,7 +159,7 @@ def _dataset(source: DatasetFrame, target_chunks: dict, target_options: dict | N
             dtype = np.dtype(packing.get("dtype", meta.dtype)).str
             fill = packing.get("_FillValue", meta.fill)
             meta = meta.with_(dtype=dtype, fill=fill, attrs=attrs | encode_attributes({k: v for k, v in packing.items() if k != "dtype"}))
-            df = df.withColumn("payload", F.transform("payload", lambda v, p=packing, t=meta.spark_type: pack(v, p, t)))
+            df = df.withColumn("payload", pack_all("payload", packing, meta.spark_type))
         arrays[name] = ArrayFrame(meta, df, a.path, lazy=True, name=name)
         chunks[name] = target_chunks.get(name) or own[name]
         options[name] = {k: v for k, v in encoding.items() if k in store.OPTIONS}

@@ -48,3 +48,12 @@ def unpack(value: Column, encoding: Mapping) -> Column:
     if encoding.get("_FillValue") is not None:
         x = F.when(value.cast("double") == F.lit(float(encoding["_FillValue"])), F.lit(float("nan"))).otherwise(x)
     return x
+
+
+def pack_all(payload: str, encoding: Mapping, spark_type: str) -> Column:
+    """:func:`pack` for each cell of an array column."""
+    return F.transform(payload, lambda v: pack(v, encoding, spark_type))
+
+
+def unpack_all(payload: str, encoding: Mapping) -> Column:
+    return F.transform(payload, lambda v: unpack(v, encoding))

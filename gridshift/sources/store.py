@@ -107,9 +107,7 @@ def save_group(group: GroupFrame, path: str, options: dict | None = None, spark:
 
 def open_dataset(spark: SparkSession, path: str, decode: bool = True) -> DatasetFrame:
     """A group of named-dimension arrays as a dataset, its packed variables unpacked."""
-    from pyspark.sql import functions as F
-
-    from ..functions.encoding import unpack
+    from ..functions.encoding import unpack_all
 
     g = open_group(spark, path)
     coords = tuple(str(g.attrs.get("coordinates", "")).split())
@@ -118,6 +116,6 @@ def open_dataset(spark: SparkSession, path: str, decode: bool = True) -> Dataset
         packed = {k: a.attrs[k] for k in ("scale_factor", "add_offset", "_FillValue") if k in a.attrs}
         if decode and packed:
             meta = a.meta.with_(dtype="f8", fill=float("nan") if "_FillValue" in packed else a.meta.fill, attrs={k: v for k, v in a.attrs.items() if k not in packed})
-            a = ArrayFrame(meta, a.df.withColumn("payload", F.transform("payload", lambda v, p=packed: unpack(v, p))), path=a.path, lazy=True)
+            a = ArrayFrame(meta, a.df.withColumn("payload", unpack_all("payload", packed)), path=a.path, lazy=True)
         arrays[name] = a
     return DatasetFrame(arrays, {k: {n: v for n, v in attrs.items() if n != "coordinates"} for k, attrs in g.group_attrs.items()}, path, coords)
