@@ -28,7 +28,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of rows that repeat a doc_id one stays. Rows without doc_id have no class and stay.
     """
     classes = common.staged(simhash.near_duplicates(docs).select("doc_id", "component_id"))
-    kept = docs.join(classes.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti")
+    gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti")  # what goes grows with the corpus, so one plan at every size: no broadcast
     again = common.staged(classes.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
     if not again.isEmpty():
         kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
