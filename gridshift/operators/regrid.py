@@ -16,6 +16,8 @@ from ..sources.frames import ArrayFrame, from_cells
 
 #: Reduce partitions of one regrid at most; more write blocks than that share partitions.
 MAX_PARTITIONS = 100_000
+#: Bytes of a reduce partition that is not a single write block, about. Small blocks share one; they are joined one after the other.
+PARTITION_BYTES = 64 << 20
 
 
 def refines(meta: ArrayMeta, chunks: tuple[int, ...]) -> bool:
@@ -97,10 +99,11 @@ def copy(array: ArrayFrame, target: ArrayMeta) -> ArrayFrame:
 
 
 def by_fragments(array: ArrayFrame, target: ArrayMeta, block: tuple[int, ...] | None = None) -> ArrayFrame:
-    """Chunks are cut into pieces, the pieces dealt to their write block's own partition, and joined there.
+    """Chunks are cut into pieces, the pieces dealt to their write block's partition, and joined there.
 
     One exchange of as many bytes as the array has and one row a piece. ``block``: the planned write
-    chunks (whole multiples of the target's), which say how much one reduce task holds.
+    chunks (whole multiples of the target's), which stay together. A partition is one block or, where blocks
+    are small, several (about PARTITION_BYTES); its chunks are joined one at a time either way.
     """
     meta = array.meta
     rows = array.df.select(*array.keys, "payload")
@@ -108,7 +111,8 @@ def by_fragments(array: ArrayFrame, target: ArrayMeta, block: tuple[int, ...] |
         return ArrayFrame(target, rows.mapInArrow(_split(meta, target, True), _schema(target)))
     per = [max(1, b // t) for b, t in zip(block or target.chunks, target.chunks, strict=True)]
     blocks = [-(-g // p) for g, p in zip(target.grid, per, strict=True)]
-    parts = min(prod(blocks), MAX_PARTITIONS)
+    enough = max(int(array.df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-target.nbytes // PARTITION_BYTES))
+    parts = min(prod(blocks), enough, MAX_PARTITIONS)
     longs = T.ArrayType(T.LongType())
     pieces = rows.mapInArrow(_split(meta, target, False), _schema(target, T.StructField("at", longs), T.StructField("size", longs)))
     wid = F.lit(0).cast("long")

@@ -221,9 +221,11 @@ def rows_of_lineitem(spark, sf_dir) -> DataFrame:
 
 @query(ROWS + " UNION ALL ".join(f"SELECT '{m}' AS variable, i // 2500 AS k0, count(*) AS cells, min({m}) AS vmin, max({m}) AS vmax, first({m} ORDER BY i) AS vfirst, last({m} ORDER BY i) AS vlast FROM r GROUP BY 2" for m in MEASURES))
 def dataset_rechunk(spark, sf_dir):
-    """A wide table as a dataset; all its variables on a new grid."""
-    t = rows_of_lineitem(spark, sf_dir).select("row", *MEASURES)
-    d = frames.from_table(t, "row", dict.fromkeys(MEASURES, "f8"), table(spark, sf_dir, "lineitem").count(), 1000)
+    """A wide table as a dataset; all its variables on a new grid. The rows are numbered once, in a table of which each variable reads its own column."""
+    t, at = rows_of_lineitem(spark, sf_dir).select("row", *MEASURES), _folder(spark)
+    t.write.parquet(at)
+    t = spark.read.schema(t.schema).parquet(at)
+    d = frames.from_table(t, "row", dict.fromkeys(MEASURES, "f8"), t.count(), 1000)
     out = None
     for name, a in d.arrays.items():
         s = summary(R.regrid(a, (2500,))).select(F.lit(name).alias("variable"), "k0", "cells", "vmin", "vmax", "vfirst", "vlast")
