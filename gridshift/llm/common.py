@@ -56,6 +56,12 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def aside(df: DataFrame, new: list[str]):
+    """``df`` with the columns that an operator would replace renamed, and a function that gives ``df``'s own columns back."""
+    held = {c: f"__held_{k}_{c}" for k, c in enumerate(df.columns) if c.lower() in new}
+    return df.withColumnsRenamed(held), lambda out: out.select(*(F.col(f"`{held.get(c, c)}`").alias(c) for c in df.columns))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -14,6 +14,8 @@ from . import common
 #: Bounds of the sample that automata are built from: documents and different words a language, characters over all.
 DOCS_PER_LANG, WORDS_PER_LANG, ALL_CHARS = 400, 5000, 240_000
 UNKNOWN = "und"
+#: A language can be told if its share is this many times what each would have if nothing told them apart.
+CLEAR = 1.2
 _LETTERS = re.compile(r"[^\W\d_]+")
 _KEPT_WORDS = 200_000
 _MODELS: dict = {}
@@ -156,7 +158,7 @@ def identify(docs: DataFrame, samples: dict[str, list[str]]) -> DataFrame:
     Repeated rows stay; other columns are kept, lang among them but not looked at.
     """
     common.ship(docs.sparkSession)
-    names = [f.name for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
+    names = [f.name for f in docs.schema.fields if f.name.lower() not in ("lang_pred", "score")]
     d = docs.select(*(F.col(f"`{n}`") for n in names))
     at = names.index("text")
 
@@ -185,10 +187,16 @@ def languages(docs: DataFrame) -> DataFrame:
 
 
 def known_language(docs: DataFrame) -> DataFrame:
-    """The rows whose text is in a language that can be told: any letter at all, and a score above mere chance."""
+    """The rows whose text is in a language that can be told, as they were.
+
+    A text without a letter goes, and one whose best language is not ahead of the others: a score below
+    CLEAR / languages (such as a word or two that several of them share). With one language, or without any labelled
+    text, nothing is compared: then only texts without a letter go, or none. Columns named like the new ones keep their values.
+    """
     samples = sample(docs)
     if not samples:
         return docs
-    told = identify(docs, samples)
-    floor = 1.0 / len(samples)
-    return told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= floor)).select(*docs.columns)
+    renamed, back = common.aside(docs, ["lang_pred", "score"])
+    told = identify(renamed, samples)
+    floor = min(1.0, CLEAR / len(samples))
+    return back(told.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= floor)))

@@ -16,6 +16,7 @@ BLOCK = 16
 PERIOD = 2048
 #: Sources scheduled by name, the largest ones; all others share one class.
 NAMED = 255
+NEW = ["mix_block", "mix_position"]
 
 
 def shares(weights: np.ndarray, period: int = PERIOD) -> np.ndarray:
@@ -118,7 +119,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     empty table stays empty.
     """
     common.ship(docs.sparkSession)
-    names = [c for c in docs.columns if c not in ("mix_block", "mix_position")]
+    names = [c for c in docs.columns if c.lower() not in NEW]
     d = docs.select(*(F.col(f"`{c}`") for c in names))
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
     sizes = d.groupBy(source.alias("__mix_source")).agg(F.count("*").alias("n"))
@@ -143,7 +144,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
 
         for b in batches:
             position, blk = placer.positions(b.column(at[0]).to_numpy().astype("i8"), b.column(at[1]).to_numpy())
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(blk), pa.array(position)], names=[*names, "mix_block", "mix_position"])
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(blk), pa.array(position)], names=[*names, *NEW])
 
     from pyspark.sql import types as T
 

@@ -28,6 +28,7 @@ TEXT_DIMS = 512
 _HASHED = 8
 PAGE_DIMS = 16 + 2 * _HASHED
 _BLOCK = 1 << 20
+NEW = ["text_score", "page_score", "score", "keep"]
 
 
 def text_view(raw: bytes) -> np.ndarray:
@@ -193,8 +194,7 @@ def score(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
     clash with the new ones are replaced.
     """
     model = fit(docs, labels)
-    new = ["text_score", "page_score", "score", "keep"]
-    names = [c for c in docs.columns if c not in new]
+    names = [c for c in docs.columns if c.lower() not in NEW]
     d = docs.select(*(F.col(f"`{c}`") for c in names))
     at = [names.index(c) for c in ("text", "lang", "source", "n_chars")]
 
@@ -208,10 +208,10 @@ def score(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
             logits = [np.clip(m.logit(np.array([x[v] for x in made])) * s + c, -30, 30) for v, (m, (s, c)) in enumerate(zip(model["views"], model["fit"], strict=True))]
             joint = model["share"][0] * logits[0] + model["share"][1] * logits[1]
             p = [1 / (1 + np.exp(-z)) for z in (*logits, joint)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, p), pa.array(p[2] >= keep)], names=[*names, *new])
+            yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, p), pa.array(p[2] >= keep)], names=[*names, *NEW])
 
     from pyspark.sql import types as T
 
     double = T.DoubleType()
-    fields = [*d.schema.fields, *(T.StructField(c, double) for c in new[:3]), T.StructField("keep", T.BooleanType())]
+    fields = [*d.schema.fields, *(T.StructField(c, double) for c in NEW[:3]), T.StructField("keep", T.BooleanType())]
     return d.mapInArrow(run, T.StructType(fields))

@@ -290,6 +290,15 @@ def test_langid(spark, odd, empty):
     assert langid.known_language(odd).columns == odd.columns
 
 
+def test_language_that_cannot_be_told(spark):
+    rows = [(k, f"shared tok {w} {w}ing {w}est", lang, "s", 9) for k, (lang, w) in enumerate([("a", "kora"), ("b", "miluf")] * 20)]
+    docs = spark.createDataFrame([*rows, (100, "shared", None, "s", 6), (101, "kora koraing", None, "s", 12), (102, "miluf", None, "s", 5), (103, "12 !", None, "s", 4), (104, None, None, "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in langid.known_language(docs).collect()}
+    assert kept == {*range(40), 101, 102}
+    one = docs.where("lang is null or lang = 'a'")
+    assert {r.doc_id for r in langid.known_language(one).collect()} == {*range(0, 40, 2), 100, 101, 102}
+
+
 def test_sharding(spark, odd, empty):
     docs = common.documents(spark, SF).select("doc_id", "text").union(odd.select("doc_id", "text"))
     rows = sharding.shard(docs, 5).collect()

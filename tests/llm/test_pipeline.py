@@ -27,7 +27,8 @@ def test_pipeline_against_plain_stages(spark):
     assert sorted(keep) == sorted(r.doc_id for r in taken["quality classifier"][1])
     before, after = taken["language ID"]
     parser = langid.CrossParser(langid.sample(spark.createDataFrame(before, first.schema)))
-    assert sorted(r.doc_id for r in after) == sorted(r.doc_id for r in before if parser.predict(r.text)[0] != "und" and parser.predict(r.text)[1] >= 1 / len(parser.langs))
+    told = {r.doc_id: parser.predict(r.text) for r in before}
+    assert sorted(r.doc_id for r in after) == sorted(k for k, (lang, score) in told.items() if lang != "und" and score >= langid.CLEAR / len(parser.langs))
     before, after = taken["SimHash near-dedup"]
     assert sorted(r.doc_id for r in after) == sorted({c for _, _, c in brute_simhash([(r.doc_id, r.text) for r in before])})
     before, after = taken["mixing sources to target weights"]
@@ -42,6 +43,18 @@ def test_repeated_ids_leave_one(spark):
     assert sorted(r.doc_id or 0 for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()) == [0, 1, 3]
 
 
+def test_clashing_columns_keep_their_values(spark):
+    """Extra columns named like what an operator makes come out of each stage as they went in."""
+    extra = ("Score", "keep", "text_score", "lang_pred", "mix_position", "component_id")
+    docs = common.documents(spark, SF)
+    docs = docs.withColumns({c: docs.doc_id + k for k, c in enumerate(extra)})
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == r.doc_id + k for r in rows for k, c in enumerate(extra)), name
+
+
 def test_empty_corpus(spark):
     docs = common.documents(spark, SF).limit(0)
     for name, stage in corpus_pipeline.STAGES:
