@@ -14,11 +14,12 @@ from gridshift.llm import common, langid, mixing, packing, quality, simhash
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier keeps; it learns from the labels of documents that are here."""
-    return quality.score(docs, common.documents(spark, sf_dir, "labels")).where("keep").select(*docs.columns)
+    renamed, back = common.aside(docs, quality.NEW)
+    return back(quality.score(renamed, common.documents(spark, sf_dir, "labels")).where("keep"))
 
 
 def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told. Without any labelled document all stay."""
+    """Documents whose language can be told: with a letter, and with one language ahead. Without any labelled document all stay."""
     return langid.known_language(docs)
 
 
@@ -39,9 +40,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, in files and rows ordered by their position in the mix."""
     n, parts = docs.count(), common.partitions(spark)
-    mixed = mixing.mix(docs)
+    renamed, back = common.aside(docs, mixing.NEW)
     part = (F.col("mix_position") * parts / max(1, n)).cast("int")
-    return mixed.repartitionById(parts, part).sortWithinPartitions("mix_position").select(*docs.columns)
+    return back(mixing.mix(renamed).repartitionById(parts, part).sortWithinPartitions("mix_position"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
