@@ -24,11 +24,11 @@ def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each near-duplicate class.
+    """The document with the smallest doc_id of each class of near copies: five-word shingles, similarity 0.8 or more.
 
     Of rows that repeat a doc_id one stays. Rows without doc_id have no class and stay.
     """
-    classes = common.staged(simhash.near_duplicates(docs).select("doc_id", "component_id"))
+    classes = common.staged(simhash.near_copies(docs))
     gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone.hint("merge"), "doc_id", "left_anti")  # what goes grows with the corpus, so one plan at every size: no broadcast
     again = common.staged(classes.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))

@@ -120,6 +120,52 @@ def test_simhash(spark, odd, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
+def brute_copies(rows, radius=64):
+    """Classes by exact similarity of five-word shingles, over all pairs whose word-pair fingerprints differ in at most ``radius`` bits."""
+    sets, up, out = [simhash.shingles(t) for _, t in rows], list(range(len(rows))), []
+    words = [(t or "").encode().lower().split() for _, t in rows]
+    fps = np.array([simhash.fingerprint(t, 2) for _, t in rows], "u8")
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in np.flatnonzero(np.bitwise_count(fps[i] ^ fps[:i]) <= radius).tolist():
+            both = len(sets[i] & sets[j])
+            if words[i] == words[j] or both and both >= 0.8 * len(sets[i] | sets[j]):
+                up[root(i)] = root(j)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[root(k)] = min(least.get(root(k), i), i)
+    return sorted((i, fp, least[root(k)]) for k, ((i, _), fp) in enumerate(zip(rows, fps.tolist(), strict=True)))
+
+
+def test_near_copies(spark, odd, empty):
+    docs = common.documents(spark, "/root/testdata/sf0.01")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = sorted(map(tuple, simhash.near_copies(docs).collect()))
+    assert got == [(i, c) for i, _, c in brute_copies(rows, simhash.PAIR_RADIUS)]
+    assert simhash.near_copies(empty).count() == 0
+    some = odd.where("length(text) < 1000 or text is null")
+    want = brute_copies([(r.doc_id, r.text) for r in some.collect() if r.doc_id is not None], simhash.PAIR_RADIUS)
+    assert sorted(tuple(r) for r in simhash.near_copies(some).collect() if r.doc_id is not None) == [(i, c) for i, _, c in want]
+
+
+def test_near_copies_of_one_text(spark):
+    """Edited copies of a text, and texts that share half of its words: the copies meet, the others stay."""
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in rng.integers(0, 5000, 400)]
+    texts = [" ".join(base)]
+    for k in range(40):
+        at = rng.integers(0, 400, 2)
+        texts.append(" ".join(f"x{k}" if i in at else w for i, w in enumerate(base)))
+    texts += [" ".join(base[:200] + [f"y{k}{i}" for i in range(200)]) for k in range(10)]
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(got[k] == 0 for k in range(41)) and all(got[k] == k for k in range(41, 51))
+
+
 @pytest.mark.parametrize("shard,per_key", [(8, 1), (4096, 64), (16, 10**6)])
 def test_bk_trees_lose_no_class(spark, shard, per_key):
     """Hot keys dealt to shards, and more shared blocks, find the same classes."""

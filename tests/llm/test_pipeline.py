@@ -4,7 +4,7 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from gridshift.llm import common, langid, quality  # noqa: E402
 
-from .test_ops import SF, brute_simhash, check_packing  # noqa: E402
+from .test_ops import SF, brute_copies, check_packing  # noqa: E402
 
 
 def test_pipeline_against_plain_stages(spark):
@@ -30,7 +30,7 @@ def test_pipeline_against_plain_stages(spark):
     told = {r.doc_id: parser.predict(r.text) for r in before}
     assert sorted(r.doc_id for r in after) == sorted(k for k, (lang, score) in told.items() if lang != "und" and score >= langid.CLEAR / len(parser.langs))
     before, after = taken["SimHash near-dedup"]
-    assert sorted(r.doc_id for r in after) == sorted({c for _, _, c in brute_simhash([(r.doc_id, r.text) for r in before])})
+    assert sorted(r.doc_id for r in after) == sorted({c for _, _, c in brute_copies([(r.doc_id, r.text) for r in before], 8)})
     before, after = taken["mixing sources to target weights"]
     assert sorted(before) == sorted(after)
     before, after = taken["packing"]
