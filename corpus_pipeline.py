@@ -46,8 +46,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their places in sequences."""
-    return packing.pack(docs)
+    """The pieces of all documents with their places in sequences, which follow the order of ``docs`` in its files: the mix."""
+    return packing.pack(common.in_file_order(docs, ["doc_id", "text"], "__place"), order="__place")
 
 
 STAGES = [

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
@@ -38,6 +40,30 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_file_order(docs: DataFrame, columns: list[str], out: str) -> DataFrame:
+    """``columns`` of ``docs`` and each row's place in the files that it was read from: files by their number, rows as they lie there.
+
+    Rows that come from no file are staged first. Places grow from 0; rows filtered out leave gaps.
+    """
+
+    def located(df):
+        at = df.metadataColumn("_metadata")
+        return df.select(*columns, at["file_name"].alias("__file"), at["row_index"].alias("__row"))
+
+    try:
+        d = located(docs)
+    except AnalysisException:
+        d = located(staged(docs.select(*columns)))
+    number = lambda name: tuple(int(m) for m in re.findall(r"^part-(\d+)|-c(\d+)\.", name) for m in m if m)
+    sizes = {r["__file"]: r["n"] for r in d.groupBy("__file").agg((F.max("__row") + 1).alias("n")).collect()}  # a row for each file
+    starts, at = [], 0
+    for name in sorted(sizes, key=lambda f: (number(f), f)):
+        starts.append((name, at))
+        at += sizes[name]
+    first = docs.sparkSession.createDataFrame(starts, "__file string, __first long")
+    return d.join(F.broadcast(first), "__file").select(*columns, (F.col("__first") + F.col("__row")).alias(out))
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package's code to the executors through Spark's file server, once a session."""
     app = spark.sparkContext.applicationId
@@ -66,17 +92,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ranked(df: DataFrame, key: str, order: list[str], out: str = "rank", salts: int | None = None) -> DataFrame:
+def ranked(df: DataFrame, key: str, order: list[str], out: str = "rank", salts: int | None = None, part: Column | None = None) -> DataFrame:
     """Number the rows of each ``key`` gaplessly from 0 without putting a key's rows into one task.
 
     Rows of a key are dealt to ``salts`` parts by a hash of ``order``; each part is numbered by
     ``order`` and starts where the parts before it end. A hot key is as even as any other.
     ``key`` must hold no null (the window and the join then share one exchange of ``df``).
     ``df`` is read twice, so stage what is costly. ``order`` should be unique within a key;
-    exact ties are numbered in an arbitrary order.
+    exact ties are numbered in an arbitrary order. ``part`` deals rows by its number instead of a hash; if it
+    grows with ``order``, numbers follow ``order`` over all parts.
     """
     salts = salts or max(16, partitions(df.sparkSession))
-    d = df.withColumn("__rank_part", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
+    d = df.withColumn("__rank_part", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int") if part is None else part)
     sizes = d.groupBy(key, "__rank_part").agg(F.count("*").alias("__rank_n"))
     before = Window.partitionBy(key).orderBy("__rank_part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select(key, "__rank_part", F.coalesce(F.sum("__rank_n").over(before), F.lit(0)).alias("__rank_before"))

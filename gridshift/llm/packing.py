@@ -26,18 +26,21 @@ TIERS = (512, 1024, 2048)
 END = 2
 #: Pieces are cut from a document in blocks of at most this many rows per batch.
 BATCH = 4096
+#: Documents with an order are packed in spans of it, of about so many windows; at most so many spans, each planned alone.
+SPAN, SPANS = 64, 64
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-def cut(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> DataFrame:
-    """Pieces of whole texts: full windows, then the rest of each document as one piece.
+def cut(docs: DataFrame, window: int = WINDOW, path: str | None = None, order: str | None = None) -> DataFrame:
+    """Pieces of whole texts: full windows, then the rest of each document as one piece; with the column ``order`` as ``place``.
 
     A null text is empty. Every document ends with one end id, so it has at least one token.
     """
     path = path or tokenizer_path()
     common.ship(docs.sparkSession)
     end = np.array([END], "<u4").tobytes()
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "place"]
 
     def pieces(batches):
         import pyarrow as pa
@@ -45,17 +48,18 @@ def cut(docs: DataFrame, window: int = WINDOW, path: str | None = None) -> DataF
         tok = tokenizer(path)
         for b in batches:
             out = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for doc, text, place in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 ids = tok.ids(text.as_py() or "") + end
                 n = len(ids) // 4
                 for at in range(0, n, window):
                     part = ids[4 * at : 4 * (at + window)]
-                    out.append((doc, at, len(part) // 4, zlib.crc32(part), n))
+                    out.append((doc, at, len(part) // 4, zlib.crc32(part), n, place))
             for k in range(0, len(out), BATCH):
                 cols = zip(*out[k : k + BATCH], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pieces, PIECES)
+    place = F.col(f"`{order}`").cast("long") if order else F.lit(0).cast("long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), place).mapInArrow(pieces, PIECES + ", place long")
 
 
 def _tier(n: int, tiers: tuple[int, ...], window: int) -> int:
@@ -142,27 +146,52 @@ def places(patterns: list[tuple[int, list[int], int]], window: int = WINDOW, gro
 PLACED = PIECES + ", sequence_id long, offset long, window long, step_group long"
 
 
-def pack(docs: DataFrame, window: int = WINDOW, tiers: tuple[int, ...] = TIERS, path: str | None = None, group_windows: int = 64) -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, tiers: tuple[int, ...] = TIERS, path: str | None = None, group_windows: int = 64, order: str | None = None, span: int = SPAN) -> DataFrame:
     """One row for each piece of every document, with its sequence, its offset there and its step group.
 
     Sequences hold at most ``window`` tokens; those of a shorter tier are exactly full
     (``window`` gives the context size). Null and empty texts are one end id. Repeated
     documents are packed as often as they occur (rows with the same doc_id too). An empty
     table gives no rows. Other columns of ``docs`` are ignored.
+
+    ``order`` names a column of whole numbers from 0, without nulls, that tells documents' order. It is cut into spans of
+    about ``span`` windows (at most SPANS); each is packed by itself, sequences and step groups are numbered span
+    after span, and within one, pieces of a length are used in order.
     """
-    pieces = common.staged(cut(docs, window, path))
-    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `window` rows
-    where = places(plan(counts, window, tiers), window, group_windows)
+    pieces = common.staged(cut(docs, window, path, order))
+    ends, tokens = pieces.agg(F.max("place") + 1, F.sum("length")).first()
+    spans = min(SPANS, max(1, (tokens or 0) // (span * window)), max(1, (1 << 19) // (window + 1))) if order else 1
+    salts = max(16, common.partitions(docs.sparkSession))
+    # a piece's kind: its span and its length
+    pieces = pieces.withColumn("kind", F.floor(F.col("place") * spans / F.lit(ends)).cast("long") * (window + 1) + F.col("length"))
+    kinds: list[dict[int, int]] = [{} for _ in range(spans)]
+    for r in pieces.groupBy("kind").agg(F.count("*").alias("n")).collect():  # at most `spans` times `window` rows
+        kinds[r["kind"] // (window + 1)][r["kind"] % (window + 1)] = r["n"]
+    parts, sequences, steps = [], 0, 0
+    for k, counts in enumerate(kinds):
+        patterns = plan(counts, window, tiers)
+        where = places(patterns, window, group_windows)
+        where["key"] += k * (window + 1) << 44
+        where["sequence"] += sequences
+        where["turn"] = np.full(len(where["key"]), sequences)
+        where["group"] += steps
+        parts.append(where)
+        sequences += sum(times for *_, times in patterns)
+        steps = max(steps, int((where["group"] + where["groups"]).max(initial=0)))
+    where = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def place(batches):
         import pyarrow as pa
 
         for b in batches:
-            length, rank = (b.column(n).to_numpy() for n in ("length", "rank"))
-            k = np.searchsorted(where["key"], (length << 44) | rank, side="right") - 1
+            kind, rank = (b.column(n).to_numpy() for n in ("kind", "rank"))
+            k = np.searchsorted(where["key"], (kind << 44) | rank, side="right") - 1
             sequence = where["sequence"][k] + rank - where["lo"][k]
-            group = where["group"][k] + sequence % where["groups"][k]
+            group = where["group"][k] + (sequence - where["turn"][k]) % where["groups"][k]
             more = (sequence, where["offset"][k], where["tier"][k], group)
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")), *map(pa.array, more)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "window", "step_group"])
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), *map(pa.array, more)], names=[*names, "sequence_id", "offset", "window", "step_group"])
 
-    return common.ranked(pieces, "length", ["doc_id", "start"]).mapInArrow(place, PLACED)
+    # parts of one kind are stretches of its span, so ranks follow the order
+    part = F.floor((F.col("place") * spans / F.lit(ends)) % 1 * salts).cast("int") if order else None
+    return common.ranked(pieces, "kind", ["place", "doc_id", "start"] if order else ["doc_id", "start"], part=part).mapInArrow(place, PLACED)

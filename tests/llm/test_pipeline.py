@@ -59,3 +59,17 @@ def test_empty_corpus(spark):
     docs = common.documents(spark, SF).limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0, name
+
+
+def test_sequences_follow_the_mix(spark, tmp_path, monkeypatch):
+    """One document in ten is of source b, which weighs a quarter of the mix: so the first sequences hold it."""
+    rows = [(k, "word " * (20 + k // 10 * 7919 % 180), "en", "b" if k % 10 == 0 else "a", 9) for k in range(6000)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[3:])
+    placed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in placed) == list(range(6000))
+    assert len({(r.sequence_id, r.offset) for r in placed}) == 6000 and len({(r.sequence_id, r.step_group) for r in placed}) == len({r.sequence_id for r in placed})
+    last = max(r.sequence_id for r in placed)
+    for part in (0.1, 0.2, 0.3):
+        prefix = [r.doc_id for r in placed if r.sequence_id < part * last]
+        assert abs(sum(d % 10 == 0 for d in prefix) / len(prefix) - 0.25) < 0.04, part
