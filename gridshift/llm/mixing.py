@@ -12,7 +12,7 @@ from . import common
 
 #: Documents in a block, the unit that is scheduled.
 BLOCK = 16
-#: Slots of one period; weights are rounded to multiples of 1 / PERIOD.
+#: Slots of one period of :func:`shares`; :func:`schedule` has no periods.
 PERIOD = 2048
 #: Sources scheduled by name, the largest ones; all others share one class.
 NAMED = 255
@@ -49,61 +49,54 @@ def period_order(slots: np.ndarray) -> list[int]:
     return order
 
 
-def schedule(blocks: list[int], weights: list[float], period: int = PERIOD) -> list[dict]:
-    """Phases of whole periods; a source that runs out leaves, and the others' weights are scaled up.
+def schedule(blocks: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The slot of every block, source after source, each source's blocks in turn.
 
-    Each phase has its first position ``start``, the ``length`` of a period, and for each source its first
-    block ``base``, blocks ``per`` period and their ``places`` within it. At most two phases a source.
+    The fluid mix serves every source at the rate of its weight among those that are not used up. Block j of a source
+    is released in the slot in which the fluid mix begins it and due by the one in which it ends it; earliest deadline first
+    among the released meets all deadlines, as the rates add up to one. So no source is ever a block from its fluid share.
     """
-    left, done = np.array(blocks, "i8"), np.zeros(len(blocks), "i8")
-    weights, start, phases = np.array(weights, "f8"), 0, []
-    while (left > 0).any():
-        on = np.flatnonzero(left > 0)
-        slots = np.zeros(len(left), "i8")
-        slots[on] = shares(weights[on], max(period, 2 * len(on)))
-        order = [int(on[k]) for k in period_order(slots[on])]
-        times = int((left[on] // slots[on]).min())
-        per = slots
-        if not times:  # some source has less than a period's blocks: the period goes on without it
-            times, per, seen, kept = 1, np.minimum(slots, left), np.zeros(len(left), "i8"), []
-            for s in order:
-                if seen[s] < per[s]:
-                    seen[s] += 1
-                    kept.append(s)
-            order = kept
-        places = [np.flatnonzero(np.array(order) == s) for s in range(len(left))]
-        phases.append({"start": start, "length": len(order), "base": done.copy(), "per": per.copy(), "places": places})
-        start += times * len(order)
-        done = done + per * times
-        left = left - per * times
-    return phases
+    blocks, weights = np.asarray(blocks, "i8"), np.asarray(weights, "f8")
+    source = np.repeat(np.arange(len(blocks)), blocks)
+    j = np.arange(len(source)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    ends = blocks / weights  # the virtual time at which each source is used up; its service is weight times virtual time
+    order = np.argsort(ends, kind="stable")
+    gone = np.concatenate(([0.0], np.cumsum(blocks[order])))
+    on = np.concatenate((np.cumsum(weights[order][::-1])[::-1], [0.0]))
+
+    def served(v):
+        k = np.searchsorted(ends[order], v, side="left")
+        return gone[k] + v * on[k]
+
+    release = np.floor(served(j / weights[source]) + 1e-7).astype("i8")
+    due = np.ceil(served((j + 1) / weights[source]) - 1e-7).astype("i8")
+    coming = np.lexsort((source, due, release))
+    releases, dues, at = release[coming].tolist(), due[coming].tolist(), coming.tolist()
+    slots, ready, k = np.zeros(len(at), "i8"), [], 0
+    for t in range(len(at)):
+        while k < len(at) and (releases[k] <= t or not ready):
+            heapq.heappush(ready, (dues[k], at[k]))
+            k += 1
+        slots[heapq.heappop(ready)[1]] = t
+    return slots
 
 
 class Placer:
     """From a source and a document's rank there to its position in the mix, gapless from 0."""
 
-    def __init__(self, counts: list[int], weights: list[float], block: int = BLOCK, period: int = PERIOD):
+    def __init__(self, counts: list[int], weights: list[float], block: int = BLOCK):
         self.block = block
-        self.phases = schedule([-(-n // block) for n in counts], weights, period)
-        short = [(self._block(np.array([s]), np.array([-(-n // block) - 1]))[0], -n % block) for s, n in enumerate(counts) if n]
-        short.sort()
-        self.short_at = np.array([p for p, _ in short], "i8")
-        self.short_by = np.concatenate(([0], np.cumsum([e for _, e in short]))).astype("i8")
-
-    def _block(self, source: np.ndarray, j: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(source), "i8")
-        for s in np.unique(source).tolist():
-            rows = np.flatnonzero(source == s)
-            bases = np.array([p["base"][s] for p in self.phases], "i8")
-            which = np.searchsorted(bases, j[rows], side="right") - 1
-            for k in np.unique(which).tolist():
-                p, at = self.phases[k], rows[which == k]
-                turn, inner = np.divmod(j[at] - p["base"][s], p["per"][s])
-                out[at] = p["start"] + turn * p["length"] + p["places"][s][inner]
-        return out
+        counts = np.array(counts, "i8")
+        blocks = -(-counts // block)
+        self.slots, self.first = schedule(blocks, weights), np.cumsum(blocks) - blocks
+        held = np.flatnonzero(counts)
+        last = self.slots[(self.first + blocks - 1)[held]]
+        order = np.argsort(last)
+        self.short_at = last[order]
+        self.short_by = np.concatenate(([0], np.cumsum((-counts % block)[held][order]))).astype("i8")
 
     def positions(self, source: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        b = self._block(source, rank // self.block)
+        b = self.slots[self.first[source] + rank // self.block]
         return b * self.block + rank % self.block - self.short_by[np.searchsorted(self.short_at, b, side="left")], b
 
 
@@ -112,8 +105,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
 
     ``weights`` gives each source's share; sources not in it get the smallest weight in it. By
     default a source weighs the square root of its rows. In every prefix of blocks each source is
-    less than one block from its share (rounded to 1 / period) until one runs out of
-    rows; the others then share its slots, and nothing is dropped or repeated. A null source is
+    less than one block from its share, by the weights as they are; when one runs out of rows, the
+    others share its slots, and nothing is dropped or repeated. The schedule is made on the driver, one number
+    a block. ``period`` is without effect: there are no rounded periods. A null source is
     the empty one. Beyond the ``named`` largest sources, the rest are one class. Within a
     source, documents come in an order given by a hash of doc_id. Repeated rows stay, an
     empty table stays empty.
@@ -133,7 +127,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
         target = [weights.get(r["__mix_source"], least) for r in top] + [least]
     else:
         target = [n**0.5 for n in counts]
-    placer = Placer(counts, [max(w, 1e-12) for w in target], block, period)
+    placer = Placer(counts, [max(w, 1e-12) for w in target], block)
     number = F.create_map(*(x for k, r in enumerate(top) for x in (F.lit(r["__mix_source"]), F.lit(k))))
     d = d.withColumn("__mix_class", F.coalesce(number[source], F.lit(len(top))))
     d = common.ranked(d.withColumn("__mix_hash", F.xxhash64("doc_id")), "__mix_class", ["__mix_hash", "doc_id"], "__mix_rank").drop("__mix_hash")

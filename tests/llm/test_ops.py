@@ -241,6 +241,32 @@ def test_mixing(spark, odd, empty):
         assert all(abs(run[s] - share * t) < 2 * 4 for s, share in zip("abc", (0.25, 0.25, 0.5), strict=True))  # a block, and one under way
 
 
+def test_mixing_keeps_to_the_true_weights():
+    """A third for one of many sources, over many blocks: never a block from its share."""
+    for others in (19, 99, 255):
+        weights = np.array([1 / 3] + [2 / 3 / others] * others)
+        counts = np.ceil(weights * 100_000).astype("i8") * 16 + 5
+        placer = mixing.Placer(counts.tolist(), weights.tolist())
+        for s in (0, 1, others):
+            _, slots = placer.positions(np.full(counts[s] // 16, s), np.arange(counts[s] // 16) * 16)
+            slots = slots[slots < 90_000]
+            j = np.arange(len(slots))
+            assert (slots >= np.floor(j / weights[s] + 1e-6) - 1e-6).all() and (slots + 1 <= np.ceil((j + 1) / weights[s] - 1e-6) + 1e-6).all()
+    blocks = np.array([1, 7, 300, 40, 3])
+    slots, w = mixing.schedule(blocks, np.array([0.1, 3, 2, 0.5, 9])), np.array([0.1, 3, 2, 0.5, 9])
+    assert sorted(slots.tolist()) == list(range(351))
+    run, fluid, owner = np.zeros(5), np.zeros(5), np.repeat(np.arange(5), blocks)[np.argsort(slots)]
+    for s in owner:
+        run[s] += 1
+        room = 1.0
+        while room > 1e-12:  # a slot of the fluid mix, cut where a source is used up
+            rate = np.where(blocks - fluid > 1e-9, w, 0)
+            rate = rate / rate.sum()
+            step = min(room, *((blocks - fluid)[rate > 0] / rate[rate > 0]))
+            fluid, room = fluid + rate * step, room - step
+        assert (np.abs(run - fluid) < 1 + 1e-6).all()
+
+
 def brute_best(v, ids, asks, k, score):
     out = []
     for q in asks:
