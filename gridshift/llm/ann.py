@@ -68,12 +68,17 @@ def _units(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.sqrt((vectors * vectors).sum(axis=1))[:, None]
 
 
+def first_of(score: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Of sorted (score, id) pairs, where one differs from the pair before it."""
+    return np.concatenate(([True], (score[1:] != score[:-1]) | (ids[1:] != ids[:-1])))[: len(ids)]
+
+
 def nearest(queries: np.ndarray, qids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int, beyond: np.ndarray | None = None):
     """Each query's k nearest of a block of rows, as (query, row, score) rows; ties to smaller ids.
 
     ``beyond`` (queries x rows) marks the pairs outside of the query's window.
 
-    A matrix product picks all rows that may be among the k; those few are scored again one by one,
+    Rows repeated under one id with one score count once. A matrix product picks all rows that may be among the k; those few are scored again one by one,
     so that a pair's score is the same wherever it is met.
     """
     out = []
@@ -86,11 +91,16 @@ def nearest(queries: np.ndarray, qids: np.ndarray, rows: np.ndarray, ids: np.nda
     norms = np.sqrt((rows * rows).sum(axis=1))
     for i in range(len(queries)):
         line = near[i]
-        least = np.partition(line, -k)[-k] if len(line) > k else -np.inf
-        at = np.flatnonzero(line >= max(least - _SLACK, -2.0))
-        q = queries[i]
-        score = (rows[at] * q).sum(axis=1) / (norms[at] * math.sqrt((q * q).sum()))
-        best = np.lexsort((ids[at], -score))[:k]
+        q, take = queries[i], k
+        while True:
+            least = np.partition(line, -take)[-take] if len(line) > take else -np.inf
+            at = np.flatnonzero(line >= max(least - _SLACK, -2.0))
+            score = (rows[at] * q).sum(axis=1) / (norms[at] * math.sqrt((q * q).sum()))
+            best = np.lexsort((ids[at], -score))
+            best = best[first_of(score[best], ids[at][best])][:k]
+            if len(best) == k or len(line) <= take:
+                break
+            take *= 4  # rows repeated under one vec_id took places
         out += zip([int(qids[i])] * len(best), ids[at][best].tolist(), score[best].tolist(), strict=True)
     return out
 

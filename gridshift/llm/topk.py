@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .ann import usable
+from .ann import first_of, usable
 
 #: Rows of one tree, queries of one unit of work, entries of a leaf page and of an inner node.
 SHARD, QUERY_BLOCK, PAGE, FANOUT = 16_384, 4096, 256, 8
@@ -101,7 +101,8 @@ class MTree:
                 keep = (score >= least) & (ids != own)
                 if keep.any():
                     best_s, best_i = np.concatenate([best_s, score[keep]]), np.concatenate([best_i, ids[keep]])
-                    order = np.lexsort((best_i, -best_s))[:k]
+                    order = np.lexsort((best_i, -best_s))
+                    order = order[first_of(best_s[order], best_i[order])][:k]
                     best_s, best_i = best_s[order], best_i[order]
                     if len(best_s) == k:
                         least = float(best_s[-1])

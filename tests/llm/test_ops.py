@@ -491,3 +491,14 @@ def test_sql(spark, name):
     cols = sorted(want.columns)
     a, b = (d[cols].sort_values(cols).reset_index(drop=True) for d in (got, want))
     assert a.equals(b)
+
+
+def test_repeated_vectors_count_once(spark):
+    """Every row twice and one row forty times: the neighbours are those of the table without repeats."""
+    table = common.documents(spark, SF, "embeddings").select("vec_id", "embedding").limit(200)
+    once = spark.createDataFrame(table.collect(), table.schema)
+    many = once.unionByName(once)
+    for _ in range(38):
+        many = many.unionByName(once.where("vec_id = 7"))
+    for search in (topk.search, ann.search):
+        assert sorted(map(tuple, search(many).collect())) == sorted(map(tuple, search(once).collect()))
