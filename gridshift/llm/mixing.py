@@ -14,8 +14,6 @@ from . import common
 BLOCK = 16
 #: Slots of one period of :func:`shares`; :func:`schedule` has no periods.
 PERIOD = 2048
-#: Sources scheduled by name, the largest ones; all others share one class.
-NAMED = 255
 NEW = ["mix_block", "mix_position"]
 
 
@@ -100,7 +98,7 @@ class Placer:
         return b * self.block + rank % self.block - self.short_by[np.searchsorted(self.short_at, b, side="left")], b
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD, named: int = NAMED) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
     """``docs`` with ``mix_block`` and ``mix_position``: every row once, in an order that keeps to the target weights.
 
     ``weights`` gives each source's share; sources not in it get the smallest weight in it. By
@@ -108,7 +106,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     less than one block from its share, by the weights as they are; when one runs out of rows, the
     others share its slots, and nothing is dropped or repeated. The schedule is made on the driver, one number
     a block. ``period`` is without effect: there are no rounded periods. A null source is
-    the empty one. Beyond the ``named`` largest sources, the rest are one class. Within a
+    the empty one. Every source has a schedule of its own, however many there are (the driver holds a row for each). Within a
     source, documents come in an order given by a hash of doc_id. Repeated rows stay, an
     empty table stays empty.
     """
@@ -116,20 +114,20 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     names = [c for c in docs.columns if c.lower() not in NEW]
     d = docs.select(*(F.col(f"`{c}`") for c in names))
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
-    sizes = d.groupBy(source.alias("__mix_source")).agg(F.count("*").alias("n"))
-    top = sizes.orderBy(F.desc("n"), "__mix_source").limit(named).collect()
-    total = d.count()
+    sizes = d.groupBy(source.alias("__mix_source")).agg(F.count("*").alias("n")).collect()
+    sizes = sorted((r["__mix_source"], r["n"]) for r in sizes)
+    total = sum(n for _, n in sizes)
     if not total:
         return d.withColumn("mix_block", F.lit(0).cast("long")).withColumn("mix_position", F.lit(0).cast("long"))
-    counts = [r["n"] for r in top] + [total - sum(r["n"] for r in top)]
+    counts = [n for _, n in sizes]
     if weights:
         least = min(weights.values())
-        target = [weights.get(r["__mix_source"], least) for r in top] + [least]
+        target = [weights.get(s, least) for s, _ in sizes]
     else:
         target = [n**0.5 for n in counts]
     placer = Placer(counts, [max(w, 1e-12) for w in target], block)
-    number = F.create_map(*(x for k, r in enumerate(top) for x in (F.lit(r["__mix_source"]), F.lit(k))))
-    d = d.withColumn("__mix_class", F.coalesce(number[source], F.lit(len(top))))
+    number = {s: k for k, (s, _) in enumerate(sizes)}
+    d = d.withColumn("__mix_class", source)
     d = common.ranked(d.withColumn("__mix_hash", F.xxhash64("doc_id")), "__mix_class", ["__mix_hash", "doc_id"], "__mix_rank").drop("__mix_hash")
     at = d.columns.index("__mix_class"), d.columns.index("__mix_rank")
 
@@ -137,7 +135,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
         import pyarrow as pa
 
         for b in batches:
-            position, blk = placer.positions(b.column(at[0]).to_numpy().astype("i8"), b.column(at[1]).to_numpy())
+            names_in = b.column(at[0]).dictionary_encode()
+            classes = np.array([number[s] for s in names_in.dictionary.to_pylist()], "i8")[names_in.indices.to_numpy()]
+            position, blk = placer.positions(classes, b.column(at[1]).to_numpy())
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(blk), pa.array(position)], names=[*names, *NEW])
 
     from pyspark.sql import types as T

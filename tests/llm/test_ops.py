@@ -502,3 +502,15 @@ def test_repeated_vectors_count_once(spark):
         many = many.unionByName(once.where("vec_id = 7"))
     for search in (topk.search, ann.search):
         assert sorted(map(tuple, search(many).collect())) == sorted(map(tuple, search(once).collect()))
+
+
+def test_mixing_of_many_sources(spark):
+    """Small sources beyond the 255 largest get their stated weight too, each less than a block from its share."""
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 400, F.concat(F.lit("small"), F.col("id") % 4)).otherwise(F.concat(F.lit("s"), F.col("id") % 300)).alias("source"))
+    sources = {f"s{k}": 1.0 for k in range(300)} | {"small0": 60.0, "small1": 40.0, "small2": 20.0, "small3": 80.0}
+    rows = mixing.mix(docs, sources, block=2).orderBy("mix_position").collect()
+    assert [r.mix_position for r in rows] == list(range(20_000)) and len({r.doc_id for r in rows}) == 20_000
+    run = Counter()
+    for t, r in enumerate(rows[:480], 1):  # small3, 100 rows at 80 of 500, lasts 625
+        run[r.source] += 1
+        assert all(abs(run[s] - sources[s] / 500 * t) < 2 * 2 for s in sources)
