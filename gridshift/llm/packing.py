@@ -28,6 +28,8 @@ END = 2
 BATCH = 4096
 #: Documents with an order are packed in spans of it, of about so many windows; at most so many spans, each planned alone.
 SPAN, SPANS = 64, 64
+#: Small corpora still have FEW spans, as long as one has so many windows.
+FEW, LEAST = 16, 8
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -155,12 +157,13 @@ def pack(docs: DataFrame, window: int = WINDOW, tiers: tuple[int, ...] = TIERS,
     table gives no rows. Other columns of ``docs`` are ignored.
 
     ``order`` names a column of whole numbers from 0, without nulls, that tells documents' order. It is cut into spans of
-    about ``span`` windows (at most SPANS); each is packed by itself, sequences and step groups are numbered span
+    about ``span`` windows (at most SPANS; shorter ones in small corpora); each is packed by itself, sequences and step groups are numbered span
     after span, and within one, pieces of a length are used in order.
     """
     pieces = common.staged(cut(docs, window, path, order))
     ends, tokens = pieces.agg(F.max("place") + 1, F.sum("length")).first()
-    spans = min(SPANS, max(1, (tokens or 0) // (span * window)), max(1, (1 << 19) // (window + 1))) if order else 1
+    windows = (tokens or 0) // window
+    spans = max(1, min(SPANS, max(windows // span, min(FEW, windows // LEAST)), (1 << 19) // (window + 1))) if order else 1
     salts = max(16, common.partitions(docs.sparkSession))
     # a piece's kind: its span and its length
     pieces = pieces.withColumn("kind", F.floor(F.col("place") * spans / F.lit(ends)).cast("long") * (window + 1) + F.col("length"))
