@@ -18,10 +18,6 @@ SHARD = 4096
 #: The number of shared blocks is chosen so that a key has about this many fingerprints.
 PER_KEY = 64
 _BLOCK = 8192
-#: Near copies: five-word shingles and the Jaccard similarity from which two texts count as copies; the fingerprints that
-#: lead to them are of word pairs, in which an edit shows less than in longer shingles, and may differ in more bits.
-SHINGLE, SIMILAR = 5, 0.8
-PAIR_WIDTH, PAIR_RADIUS, PAIR_PER_KEY = 2, 8, 256
 
 
 def fingerprint(text: str | None, width: int = WIDTH) -> int:
@@ -103,64 +99,88 @@ def _signed(x: int) -> int:
 LINKS = "u long, v long"
 
 
+class Forest:
+    """Union-find over the names met so far, and how many sets they are in."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+        self.sets = 0
+
+    def root(self, x: int) -> int:
+        up = self.up
+        if x not in up:
+            up[x] = x
+            self.sets += 1
+            return x
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    def join(self, x: int, y: int) -> bool:
+        """Whether ``x`` and ``y`` were apart until now."""
+        a, b = self.root(x), self.root(y)
+        if a == b:
+            return False
+        self.up[a] = b
+        self.sets -= 1
+        return True
+
+
 def links(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD, per_key: int = PER_KEY) -> DataFrame:
     """Links between distinct fingerprints ``prints(fp, node)`` that suffice to connect what is within ``radius``.
 
-    Exact at every size: fingerprints meet under the keys of :func:`masks`, whose number of
-    shared blocks follows from the count alone. Under a key, shards of at most about ``shard``
-    fingerprints become BK-trees; each pair of shards is one unit of work, so a hot key is
-    dealt over many tasks. A unit passes on a spanning forest of the links that it finds,
-    at most one link a fingerprint, never all pairs. If ``prints`` has a column ``comp``, it passes on
-    all links between different ``comp`` instead. (Trees are built from the shuffled shards, in
-    the tasks that search them: broadcasting them would take the fingerprints of all
-    documents through the driver.)
+    Exact at every size: fingerprints meet under the keys of :func:`masks`. The number of shared blocks follows from
+    the count alone (with the radius of 4: 5, 15, 35 or 70 keys a fingerprint from 0, 262,144, 134 million and 8.6
+    billion fingerprints on), so a key keeps about ``per_key`` of evenly spread fingerprints at any count.
     """
-    spark = prints.sparkSession
-    common.ship(spark)
-    n, shared, grouped = prints.count(), 1, "comp" in prints.columns
-    carried = ["fp", "node", *(["comp"] if grouped else [])]
+    n, shared = prints.count(), 1
     while shared < 4 and n > per_key << (64 * shared // (radius + shared)):
         shared += 1
-    keys = F.array(*(F.struct(F.lit(k).alias("c"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in enumerate(masks(shared, radius))))
-    keyed = prints.select(*carried, F.explode(keys).alias("at")).select(*carried, "at.c", "at.key")
-    large = keyed.groupBy("c", "key").agg(F.count("*").alias("n")).where(F.col("n") > shard).select("c", "key", F.ceil(F.col("n") / shard).cast("int").alias("shards"))
+    masked = enumerate(masks(shared, radius))
+    keys = [F.struct(F.lit(k).alias("c"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for k, m in masked]
+    keyed = prints.select("fp", "node", F.explode(F.array(*keys)).alias("at")).select("at.c", "at.key", "fp", "node")
+    return forest(keyed, radius, shard)
+
+
+def forest(keyed: DataFrame, radius: int, shard: int = SHARD) -> DataFrame:
+    """Links ``(u, v)`` that connect what is within ``radius`` under one key of ``keyed(c, key, fp, node)``.
+
+    Under a key, shards of at most about ``shard`` fingerprints become BK-trees; each pair of shards is one unit of
+    work, so a hot key is dealt over many tasks. A unit passes on a spanning forest of the links that it finds, at
+    most one link a fingerprint, never all pairs; once all that it met is one set, a search ends at its first hit.
+    (Trees are built from the shuffled shards, in the tasks that search them: broadcasting them would take the
+    fingerprints of all documents through the driver.)
+    """
+    common.ship(keyed.sparkSession)
+    large = keyed.groupBy("c", "key").agg(F.count("*").alias("n")).where(F.col("n") > shard)
+    large = large.select("c", "key", F.ceil(F.col("n") / shard).cast("int").alias("shards"))
     keyed = keyed.join(large, ["c", "key"], "left").withColumn("shards", F.coalesce("shards", F.lit(1)))
     keyed = keyed.withColumn("own", F.pmod(F.xxhash64("fp", "node"), F.col("shards")).cast("int"))
     keyed = keyed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    unit = [F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("asks")]
-    units = keyed.select("c", "key", *unit, *carried).repartition("c", "key", "i", "j").sortWithinPartitions("c", "key", "i", "j", "asks")
+    unit = [F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")]
+    units = keyed.select("c", "key", *unit, (F.col("own") > F.col("other")).alias("asks"), "fp", "node")
+    units = units.repartition("c", "key", "i", "j").sortWithinPartitions("c", "key", "i", "j", "asks")
 
     def search(batches):
         import pyarrow as pa
 
-        up: dict[int, int] = {}
-
-        def root(x):
-            while (y := up.setdefault(x, x)) != x:
-                up[x] = up[y]
-                x = up[x]
-            return x
-
-        found, now, tree = [], None, BKTree()
+        found, now, tree, sets = [], None, BKTree(), Forest()
         for b in batches:
-            for c, key, i, j, asks, fp, node, *comp in zip(*(col.to_pylist() for col in b.columns), strict=True):
+            for c, key, i, j, asks, fp, node in zip(*(col.to_pylist() for col in b.columns), strict=True):
                 if (c, key, i, j) != now:
-                    now, tree, up = (c, key, i, j), BKTree(), {}
+                    now, tree, sets = (c, key, i, j), BKTree(), Forest()
                 fp &= (1 << 64) - 1
-                if grouped:
-                    if asks or i == j:
-                        found += [(node, other) for other, its in tree.near(fp, radius) if its != comp]
-                    if not asks:
-                        tree.add(fp, (node, comp))
-                    continue
                 if asks or i == j:
-                    mine = root(node)
+                    sets.root(node)
                     for other in tree.near(fp, radius):
-                        if (r := root(other)) != mine:
-                            up[r] = mine
+                        if sets.join(node, other):
                             found.append((node, other))
+                        if sets.sets == 1:
+                            break
                 if not asks:
                     tree.add(fp, node)
+                    sets.root(node)
             if found:
                 u, v = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
@@ -196,74 +216,3 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -
     classes = prints.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
     out = marked.join(classes, "fp", "left")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def shingles(text: str | None, n: int = SHINGLE) -> set[bytes]:
-    """The different runs of ``n`` words; fewer words: the whole sequence. A-Z are lower-cased."""
-    words = (text or "").encode().lower().split()
-    return {b" ".join(words[k : k + n]) for k in range(max(1, len(words) - n + 1))} if words else set()
-
-
-def _alike(pairs: DataFrame, texts: DataFrame, shingle: int, similar: float) -> DataFrame:
-    """The ``pairs(u, v)`` whose texts, ``texts(node, text)``, are alike: exact Jaccard similarity of whole texts' shingles."""
-
-    def check(batches):
-        import pyarrow as pa
-
-        last: dict[int, tuple[int, set]] = {}
-        for b in batches:
-            keep = []
-            for k, (u, v) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)):
-                both = []
-                for side, node in ((2, u), (3, v)):
-                    text = b.column(side)[k].as_py()
-                    if last.get(side, (None, None))[0] != (node, text):
-                        last[side] = ((node, text), shingles(text, shingle))
-                    both.append(last[side][1])
-                shared = len(both[0] & both[1])
-                if shared >= similar * (len(both[0]) + len(both[1]) - shared):
-                    keep.append(k)
-            if keep:
-                yield b.take(pa.array(keep)).select(["u", "v"])
-
-    named = [texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")).hint("merge") for k in "uv"]
-    return pairs.join(named[0], "u").join(named[1], "v").select("u", "v", "text_u", "text_v").mapInArrow(check, LINKS).distinct()
-
-
-def near_copies(docs: DataFrame, shingle: int = SHINGLE, similar: float = SIMILAR, width: int = PAIR_WIDTH, radius: int = PAIR_RADIUS) -> DataFrame:
-    """``doc_id, component_id``: classes of texts linked by a Jaccard similarity of at least ``similar``.
-
-    SimHash fingerprints (of ``width`` words) and BK-trees find pairs within ``radius``; each is then checked on whole texts.
-    A first search passes on a spanning forest of its links; a second one, over the texts that have a partner, all links
-    between texts that the checked ones do not yet connect. So every pair within ``radius`` is checked or connected
-    already, and a group of copies is never turned into all its pairs.
-
-    Texts of the same words (A-Z and a-z, and white space, alike) are one node from the start; null, empty and wordless ones are
-    such a class. Rows without doc_id have no class and link nothing. Repeated rows stay. Other columns are ignored.
-    """
-    common.ship(docs.sparkSession)
-
-    def mark(batches):
-        import pyarrow as pa
-        from xxhash import xxh3_128_digest
-
-        for b in batches:
-            texts = [t.as_py() or "" for t in b.column(1)]
-            norms = pa.array([xxh3_128_digest(b" ".join(t.encode().lower().split())) for t in texts], pa.binary())
-            fps = np.fromiter((fingerprint(t, width) for t in texts), "u8", b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), norms, pa.array(fps.view("i8"))], names=["doc_id", "norm", "fp"])
-
-    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    marked = common.staged(own.mapInArrow(mark, "doc_id long, norm binary, fp long"))
-    nodes = common.staged(marked.where("doc_id is not null").groupBy("norm", "fp").agg(F.min("doc_id").alias("node")))
-    ordered = lambda found: found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct()
-    first = common.staged(ordered(links(nodes.select("fp", "node"), radius, per_key=PAIR_PER_KEY)))
-    told = common.staged(first.select(F.explode(F.array("u", "v")).alias("node")).distinct())
-    texts = common.staged(own.withColumnRenamed("doc_id", "node").join(told.hint("merge"), "node", "left_semi"))
-    sure = common.staged(_alike(first, texts, shingle, similar))
-    again = nodes.join(told.hint("merge"), "node", "left_semi").join(components(sure).hint("merge"), "node", "left")
-    again = common.staged(again.select("fp", "node", F.coalesce("root", "node").alias("comp")))
-    more = ordered(links(again, radius, per_key=PAIR_PER_KEY)).join(first.hint("merge"), ["u", "v"], "left_anti")
-    roots = components(sure.unionByName(common.staged(_alike(more, texts, shingle, similar))))
-    classes = nodes.join(roots.hint("merge"), "node", "left").select("norm", "fp", F.coalesce("root", "node").alias("component_id"))
-    return marked.join(classes.hint("merge"), ["norm", "fp"], "left").select("doc_id", "component_id")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gridshift.llm import ann, binary, common, html, langid, mixing, packing, quality, queries, sharding, simhash, topk
+from gridshift.llm import ann, binary, common, html, langid, mixing, nearcopies, packing, quality, queries, sharding, simhash, topk
 from gridshift.llm.components import components
 from gridshift.llm.tokens import tokenizer, tokenizer_path
 
@@ -120,37 +120,81 @@ def test_simhash(spark, odd, empty):
     assert simhash.near_duplicates(empty).count() == 0
 
 
-def brute_copies(rows, radius=64):
-    """Classes by exact similarity of five-word shingles, over all pairs whose word-pair fingerprints differ in at most ``radius`` bits."""
-    sets, up, out = [simhash.shingles(t) for _, t in rows], list(range(len(rows))), []
+def brute_copies(rows):
+    """Classes by exact similarity of five-word shingles, over all pairs that share a shingle, and equal words."""
     words = [(t or "").encode().lower().split() for _, t in rows]
-    fps = np.array([simhash.fingerprint(t, 2) for _, t in rows], "u8")
+    sets = [{b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
+    up, holders, same = list(range(len(rows))), defaultdict(list), {}
 
     def root(x):
         while up[x] != x:
             x = up[x]
         return x
 
-    for i in range(len(rows)):
-        for j in np.flatnonzero(np.bitwise_count(fps[i] ^ fps[:i]) <= radius).tolist():
-            both = len(sets[i] & sets[j])
-            if words[i] == words[j] or both and both >= 0.8 * len(sets[i] | sets[j]):
+    for i, s in enumerate(sets):
+        up[root(i)] = root(same.setdefault(b" ".join(words[i]), i))
+        shared = Counter(j for x in s for j in holders[x])
+        for j, both in shared.items():
+            if both >= 0.8 * (len(s) + len(sets[j]) - both):
                 up[root(i)] = root(j)
+        for x in s:
+            holders[x].append(i)
     least = {}
     for k, (i, _) in enumerate(rows):
         least[root(k)] = min(least.get(root(k), i), i)
-    return sorted((i, fp, least[root(k)]) for k, ((i, _), fp) in enumerate(zip(rows, fps.tolist(), strict=True)))
+    return sorted((i, least[root(k)]) for k, (i, _) in enumerate(rows))
 
 
-def test_near_copies(spark, odd, empty):
+@pytest.mark.parametrize("shard,block_words", [(1024, 1 << 20), (3, 200)])
+def test_near_copies(spark, odd, empty, shard, block_words):
+    """All of them, with hot bands and large groups dealt to several units as well."""
     docs = common.documents(spark, "/root/testdata/sf0.01")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    got = sorted(map(tuple, simhash.near_copies(docs).collect()))
-    assert got == [(i, c) for i, _, c in brute_copies(rows, simhash.PAIR_RADIUS)]
-    assert simhash.near_copies(empty).count() == 0
-    some = odd.where("length(text) < 1000 or text is null")
-    want = brute_copies([(r.doc_id, r.text) for r in some.collect() if r.doc_id is not None], simhash.PAIR_RADIUS)
-    assert sorted(tuple(r) for r in simhash.near_copies(some).collect() if r.doc_id is not None) == [(i, c) for i, _, c in want]
+    assert sorted(map(tuple, nearcopies.near_copies(docs, shard=shard, block_words=block_words).collect())) == brute_copies(rows)
+    assert nearcopies.near_copies(empty).count() == 0
+    want = brute_copies([(r.doc_id, r.text) for r in odd.collect() if r.doc_id is not None])
+    assert sorted(tuple(r) for r in nearcopies.near_copies(odd).collect()) == want
+
+
+def edited(rng, words, share):
+    """``words`` with a run of them replaced, appended or put in, so that about ``share`` of the words are new."""
+    n, at, kind = int(len(words) * share), int(rng.integers(0, len(words))), int(rng.integers(0, 3))
+    new = [f"n{x}" for x in rng.integers(0, 10**9, n)]
+    return [*words, *new] if kind == 0 else [*words[:at], *new, *words[at:]] if kind == 1 else [*words[:at], *new, *words[at + n :]]
+
+
+def test_near_copies_of_every_kind_are_found(spark):
+    """Pairs at all similarities about 0.8: none of those at or above it is missed."""
+    rng, texts = np.random.default_rng(8), []
+    for k in range(700):
+        base = [f"b{x}" for x in rng.integers(0, 10**9, int(rng.integers(30, 400)))]
+        texts += [" ".join(base), " ".join(edited(rng, base, rng.uniform(0.02, 0.25)))]
+    rows = list(enumerate(texts))
+    want = brute_copies(rows)
+    assert sum(i != c for i, c in want) > 300
+    assert sorted(map(tuple, nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == want
+
+
+@pytest.mark.parametrize("copies", [100, 400])
+def test_copies_below_the_similarity_make_no_pairs(spark, copies, monkeypatch):
+    """Edited copies of one text that are not near copies of each other: the rows passed on grow with the copies, not their pairs."""
+    rng, counted = np.random.default_rng(5), []
+    base = [f"w{k}" for k in rng.integers(0, 5000, 300)]
+    texts = []
+    for k in range(copies):
+        at = set(rng.choice(300, 12, replace=False).tolist())
+        texts.append(" ".join(f"x{k}-{i}" if i in at else w for i, w in enumerate(base)))
+    real = common.staged
+
+    def staged(df):
+        out = real(df)
+        counted.append(out.count())
+        return out
+
+    monkeypatch.setattr(nearcopies.common, "staged", staged)
+    rows = list(enumerate(texts))
+    assert sorted(map(tuple, nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"), shard=64).collect())) == brute_copies(rows)
+    assert max(counted) <= 4 * copies
 
 
 def test_near_copies_of_one_text(spark):
@@ -162,7 +206,7 @@ def test_near_copies_of_one_text(spark):
         at = rng.integers(0, 400, 2)
         texts.append(" ".join(f"x{k}" if i in at else w for i, w in enumerate(base)))
     texts += [" ".join(base[:200] + [f"y{k}{i}" for i in range(200)]) for k in range(10)]
-    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.component_id for r in nearcopies.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert all(got[k] == 0 for k in range(41)) and all(got[k] == k for k in range(41, 51))
 
 
