@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridshift.llm import common, langid, mixing, packing, quality, simhash
+from gridshift.llm import common, langid, mixing, nearcopies, packing, quality
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,15 +26,10 @@ def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest doc_id of each class of near copies: five-word shingles, similarity 0.8 or more.
 
-    Of rows that repeat a doc_id one stays. Rows without doc_id have no class and stay.
+    Null, empty and wordless texts are one class, very long ones count whole. Of equal rows one stays; rows that share
+    a doc_id but not the text are judged each by its own text. Rows without doc_id have no class and stay.
     """
-    classes = common.staged(simhash.near_copies(docs))
-    gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone.hint("merge"), "doc_id", "left_anti")  # what goes grows with the corpus, so one plan at every size: no broadcast
-    again = common.staged(classes.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
-    if not again.isEmpty():
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return kept.select(*docs.columns)
+    return nearcopies.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
