@@ -379,19 +379,45 @@ def test_hilbert_is_a_walk():
     assert (np.abs(np.diff(side[np.argsort(keys)], axis=0)).sum(axis=1) == 1).all()
 
 
-def test_suffix_automaton():
-    text = " banana bandana cabana "
-    a = langid.SuffixAutomaton(text)
-
-    def plain(t):
-        n = 0
-        while t:
-            k = next((k for k in range(len(t), 0, -1) if t[:k] in text), 1)
-            n, t = n + 1, t[k:]
-        return n
-
-    for t in ("banana", "bandcab", " xyz ", "anax", "", " nab nad ", "q"):
-        assert a.phrases(t) == plain(t), t
+def plain_phrases(text, sample):
+    """Longest matches, one after another; a byte that the sample lacks is one."""
+    n = at = 0
+    while at < len(text):
+        end = at + 1
+        while end < len(text) and text[at : end + 1] in sample and text[at:end] in sample:
+            end += 1
+        n, at = n + 1, end
+    return n
+
+
+def test_cross_parsing_toy():
+    parser = langid.CrossParser({"a": ["banana bandana cabana"], "b": ["日本 é", "q"], "c": [""], "d": ["x"], "e": ["naïve हिन्दी"]})
+    samples = [b" " + b"".join(langid.letters(t)[1:] for t in s) for s in (["banana bandana cabana"], ["日本 é", "q"], [""], ["x"], ["naïve हिन्दी"])]
+    texts = [langid.letters(t) for t in ("banana", "bandcab", " xyz ", "anax", "nab nad ", "q", "日é本 हिन", "x" * 300)]
+    got = parser.phrases(texts)
+    assert got.tolist() == [[plain_phrases(t, s) for t in texts] for s in samples]
+    assert langid.letters("½ ² Ⅷ ① 12 ́") == b"" and langid.letters("हिन्दी") == " हिन्दी ".encode()
+
+
+def test_whole_texts_are_cross_parsed(spark):
+    """Every text of the table, parsed plainly against the same sample."""
+    docs = common.documents(spark, SF)
+    samples = langid.sample(docs)
+    taught = {r.text for r in docs.collect() if r.lang and zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    assert all(t in taught for texts in samples.values() for t in texts)
+    joined = {k: b" " + b"".join(langid.letters(t)[1:] for t in v) for k, v in samples.items()}
+    said = {r.doc_id: r for r in langid.identify(docs, samples).collect()}
+    for r in docs.collect():
+        text = langid.letters(r.text)
+        if not text:
+            assert (said[r.doc_id].lang_pred, said[r.doc_id].score) == ("und", 0)
+            continue
+        if len(text) > 2500:
+            continue
+        entropy = {k: plain_phrases(text, s) * math.log2(len(s)) / len(text) for k, s in joined.items()}
+        best = min(sorted(entropy), key=entropy.get)
+        assert said[r.doc_id].lang_pred == best
+        assert abs(said[r.doc_id].score - 1 / sum(2 ** (entropy[best] - e) for e in entropy.values())) < 1e-9
 
 
 def test_langid(spark, odd, empty):

@@ -27,7 +27,7 @@ def test_pipeline_against_plain_stages(spark):
     assert sorted(keep) == sorted(r.doc_id for r in taken["quality classifier"][1])
     before, after = taken["language ID"]
     parser = langid.CrossParser(langid.sample(spark.createDataFrame(before, first.schema)))
-    told = {r.doc_id: parser.predict(r.text) for r in before}
+    told = dict(zip((r.doc_id for r in before), parser.predict([r.text for r in before]), strict=True))
     assert sorted(r.doc_id for r in after) == sorted(k for k, (lang, score) in told.items() if lang != "und" and score >= langid.CLEAR / len(parser.langs))
     before, after = taken["SimHash near-dedup"]
     assert sorted(r.doc_id for r in after) == sorted({c for _, c in brute_copies([(r.doc_id, r.text) for r in before])})
