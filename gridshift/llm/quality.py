@@ -1,8 +1,8 @@
 """Quality classifier by co-training (operator 3).
 
-Two views of a document: its text content (which byte pairs it is made of) and its page record
-(source, language, length, and how the page is laid out). Each has a classifier of its own; over
-rounds each one labels the unlabelled documents that it is surest of for the other. At the
+Two separate views of a document: its text content (which byte pairs it is made of, and counts of its words, lines and
+marks) and its page record (source, language and stated length; nothing that is read from the text). Each has a
+classifier of its own; over rounds each one labels the unlabelled documents that it is surest of for the other. At the
 end both are calibrated on labelled rows that neither was trained on, and every document gets the
 joint score. Models are fitted on bounded samples; scoring is one pass over all documents.
 """
@@ -22,61 +22,67 @@ LABELLED, UNLABELLED = 6000, 4000
 ROUNDS = 4
 #: Share of the unlabelled sample that a view may label in one round, and how sure it must be.
 SHARE, SURE = 0.05, 0.95
+#: Ridges of the text view's byte pairs and counts, and of the page view.
+TEXT_RIDGE, PAGE_RIDGE = (20.0, 1.0), 5.0
 #: Documents whose joint probability of good quality is at least this are kept.
 KEEP = 0.5
 TEXT_DIMS = 512
-_HASHED = 8
-PAGE_DIMS = 16 + 2 * _HASHED
+_COUNTS = 14
+#: Values of source and of language are hashed to so many columns each; lengths have a column for each doubling.
+_HASHED, _LENGTHS = 64, 24
+PAGE_DIMS = 2 * _HASHED + _LENGTHS + 2
 _BLOCK = 1 << 20
 NEW = ["text_score", "page_score", "score", "keep"]
 
 
-def text_view(raw: bytes) -> np.ndarray:
-    """Square roots of the shares of hashed byte pairs (so the vector has length one)."""
-    counts = np.zeros(TEXT_DIMS)
+def text_view(text: str) -> np.ndarray:
+    """Square roots of the shares of hashed byte pairs (a vector of length one), then counts of words, lines and marks."""
+    raw = text.encode()
+    pairs = np.zeros(TEXT_DIMS)
     b = np.frombuffer(raw, np.uint8)
     for k in range(0, len(b), _BLOCK):
         part = b[k : k + _BLOCK + 1].astype("i4")
         if len(part) > 1:
-            counts += np.bincount((part[:-1] * 131 + part[1:]) & (TEXT_DIMS - 1), minlength=TEXT_DIMS)
-    return np.sqrt(counts / max(1.0, counts.sum()))
-
-
-def page_view(text: str, raw: bytes, lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
-    """The page's record and layout: hashed language and source, lengths, lines, repetition, letter case, marks."""
+            pairs += np.bincount((part[:-1] * 131 + part[1:]) & (TEXT_DIMS - 1), minlength=TEXT_DIMS)
     words, lines = text.split(), text.split("\n")
     n, w = max(1, len(text)), max(1, len(words))
-    kinds = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
+    kinds = np.bincount(b, minlength=256)
     upper, lower = int(kinds[65:91].sum()), int(kinds[97:123].sum())
     spaces, digits, high = int(kinds[32] + kinds[10]), int(kinds[48:58].sum()), int(kinds[128:].sum())
-    marks = max(0, len(raw) - upper - lower - spaces - digits - high)
-    stops = int(kinds[46] + kinds[44])
-    out = np.zeros(PAGE_DIMS)
-    out[:16] = (
-        np.log1p(n), np.log1p(max(0, n_chars or 0)), np.log1p(w), np.log1p(len(lines)), np.log1p(w / len(lines)), len(set(words)) / w, len(set(words)) / w**0.7, len(set(lines)) / len(lines),
-        upper / max(1, upper + lower), marks / w, (marks - stops) / w, stops / w, digits / n, spaces / n, n / w, sum(a == b for a, b in zip(words, words[1:], strict=False)) / w,
+    marks, stops = max(0, len(raw) - upper - lower - spaces - digits - high), int(kinds[46] + kinds[44])
+    different = len(set(words))
+    doubled = sum(a == b for a, b in zip(words, words[1:], strict=False))
+    counts = (
+        np.log1p(n), np.log1p(w), np.log1p(len(lines)), np.log1p(w / len(lines)), different / w, different / w**0.7, len(set(lines)) / len(lines),
+        upper / max(1, upper + lower), marks / w, (marks - stops) / w, stops / w, digits / n, spaces / n, n / w + doubled / w,
     )
-    out[16 + zlib.crc32((lang or "").encode()) % _HASHED] = 1
-    out[16 + _HASHED + zlib.crc32((source or "").encode()) % _HASHED] = 1
+    return np.concatenate([np.sqrt(pairs / max(1.0, pairs.sum())), counts])
+
+
+def page_view(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
+    """The page's record: hashed source and language, the stated length and which doubling of it; null values have columns too."""
+    out = np.zeros(PAGE_DIMS)
+    out[zlib.crc32(("" if lang is None else "=" + lang).encode()) % _HASHED] = 1
+    out[_HASHED + zlib.crc32(("" if source is None else "=" + source).encode()) % _HASHED] = 1
+    length = max(0, n_chars or 0)
+    out[2 * _HASHED + min(_LENGTHS - 1, length.bit_length())] = 1
+    out[-2:] = np.log1p(length), n_chars is None
     return out
 
 
 def views(text, lang, source, n_chars) -> tuple[np.ndarray, np.ndarray]:
-    text = text or ""
-    raw = text.encode()
-    return text_view(raw), page_view(text, raw, lang, source, n_chars)
+    return text_view(text or ""), page_view(lang, source, n_chars)
 
 
 class Logistic:
     """Logistic regression on standardised columns, both classes weighing the same; Newton steps with a ridge."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 12):
+    def __init__(self, x: np.ndarray, y: np.ndarray, ridge: float | np.ndarray = 1.0, steps: int = 12):
         self.mean, self.scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-6)
         z = self._design(x)
         each = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
         self.w = np.zeros(z.shape[1])
-        keep = np.full(len(self.w), ridge)
-        keep[-1] = 1e-6
+        keep = np.append(np.broadcast_to(ridge, x.shape[1]), 1e-6)
         for _ in range(steps):
             p = 1 / (1 + np.exp(-np.clip(z @ self.w, -30, 30)))
             grad = z.T @ (each * (p - y)) + keep * self.w
@@ -107,11 +113,23 @@ def _balanced(y: np.ndarray) -> bool:
     return (y == 0).sum() >= 2 and (y == 1).sum() >= 2
 
 
+def _chance(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def _calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """The straight line that turns a view's logits into those of what is seen."""
+    c = Logistic(z[:, None], y, ridge=0.1)
+    slope = float(c.w[0] / c.scale[0])
+    return slope, float(c.w[1] - slope * c.mean[0])
+
+
 def co_train(text: np.ndarray, page: np.ndarray, y: np.ndarray, free_text: np.ndarray, free_page: np.ndarray, rounds: int = ROUNDS) -> dict:
     """Models of both views, and how their logits are calibrated and joined.
 
     Every third labelled row is set apart for calibration. In each round each view labels, for
-    the other, its surest unlabelled rows of either class.
+    the other, its surest unlabelled rows of either class; how sure it is, the rows set apart tell (a view that
+    says nothing about them labels nothing).
     """
     if not _balanced(y):
         same = Constant(len(y) == 0 or y.mean() >= 0.5)
@@ -123,45 +141,43 @@ def co_train(text: np.ndarray, page: np.ndarray, y: np.ndarray, free_text: np.nd
     data, free = [text[~apart], page[~apart]], [free_text, free_page]
     x, target = list(data), [y[~apart], y[~apart]]
     used = [np.zeros(len(free_text), bool), np.zeros(len(free_text), bool)]
-    ridges = (20.0, 1.0)
+    ridges = (np.repeat(TEXT_RIDGE, (text.shape[1] - _COUNTS, _COUNTS)), PAGE_RIDGE)
     for turn in range(rounds + 1):
         models = [Logistic(x[v], target[v], ridges[v]) for v in (0, 1)]
+        fit = [_calibrated(m.logit((text, page)[v][held]), y[held]) for v, m in enumerate(models)]
         if turn == rounds or not len(free_text):
             break
         for v in (0, 1):
-            other, p = 1 - v, 1 / (1 + np.exp(-np.clip(models[v].logit(free[v]), -30, 30)))
+            other, p = 1 - v, _chance(fit[v][0] * models[v].logit(free[v]) + fit[v][1])
             for label, sure in ((1, p), (0, 1 - p)):
                 at = np.argsort(-sure, kind="stable")
                 at = at[(sure[at] >= SURE) & ~used[other][at]][: max(1, int(SHARE * len(p)))]
                 used[other][at] = True
                 x[other] = np.concatenate([x[other], free[other][at]])
                 target[other] = np.concatenate([target[other], np.full(len(at), label)])
-    fit, loss = [], []
-    for v, m in enumerate(models):
-        z = m.logit((text, page)[v][held])
-        c = Logistic(z[:, None], y[held], ridge=0.1)
-        a = float(c.w[0] / c.scale[0])
-        b = float(c.w[1] - c.w[0] * c.mean[0] / c.scale[0])
-        p = 1 / (1 + np.exp(-np.clip(a * z + b, -30, 30)))
-        fit.append((a, b))
+    loss = []
+    for v, (m, (a, b)) in enumerate(zip(models, fit, strict=True)):
+        p = _chance(a * m.logit((text, page)[v][held]) + b)
         loss.append(max(1e-3, float(-np.log(np.where(y[held] == 1, p, 1 - p) + 1e-9).mean())))
     share = np.array([1 / v for v in loss])
     return {"views": models, "fit": fit, "share": tuple((share / share.sum()).tolist())}
 
 
 def _sampled(docs: DataFrame, ids: DataFrame) -> dict[int, tuple]:
-    """Both views of the documents whose ids are given (a bounded number)."""
+    """Both views of the documents whose ids are given (a bounded number); of rows that share an id one counts."""
 
     def run(batches):
         import pyarrow as pa
 
+        names, types = ("doc_id", "t", "p"), (pa.int64(), pa.binary(), pa.binary())
         for b in batches:
-            out = [(r["doc_id"], *(v.astype("f4").tobytes() for v in views(r["text"], r["lang"], r["source"], r["n_chars"]))) for r in b.to_pylist()]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["doc_id", "t", "p"])
+            rows = [(r["doc_id"], *(v.astype("f4").tobytes() for v in views(r["text"], r["lang"], r["source"], r["n_chars"]))) for r in b.to_pylist()]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
-    rows = _inputs(docs).join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(run, "doc_id long, t binary, p binary").collect()
-    return {r["doc_id"]: (np.frombuffer(r["t"], "f4"), np.frombuffer(r["p"], "f4")) for r in sorted(rows, key=lambda r: (r["doc_id"], r["t"]))}
+    rows = _inputs(docs).join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(run, "doc_id long, t binary, p binary")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("t", "p")).alias("v")).collect()
+    return {r["doc_id"]: (np.frombuffer(r["v"]["t"], "f4"), np.frombuffer(r["v"]["p"], "f4")) for r in rows}
 
 
 def _inputs(docs: DataFrame) -> DataFrame:
@@ -171,25 +187,28 @@ def _inputs(docs: DataFrame) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
     """The models, from LABELLED labelled and UNLABELLED other documents at most.
 
-    Labels without doc_id or quality, and of no document, count for nothing; a document with
-    several labels has the worst of them.
+    Labels without doc_id or quality, and of no document, count for nothing: they are left out before any is drawn. A
+    document with several labels has the worst of them; of rows that share a doc_id one is learnt from.
     """
     common.ship(docs.sparkSession)
     by_hash = F.xxhash64("doc_id"), F.col("doc_id")
-    told = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
+    there = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
+    told = labels.where("doc_id is not null and quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    told = told.groupBy("doc_id").agg(F.min("quality").alias("quality")).join(there, "doc_id", "left_semi")  # before any is drawn
     told = {r["doc_id"]: int(r["quality"] > 0) for r in told.orderBy(*by_hash).limit(LABELLED).collect()}
-    free = [r["doc_id"] for r in docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").orderBy(*by_hash).limit(UNLABELLED).collect()]
+    free = [r["doc_id"] for r in there.distinct().orderBy(*by_hash).limit(UNLABELLED).collect()]
     ids = docs.sparkSession.createDataFrame([(i,) for i in sorted({*told, *free})], "doc_id long")
     seen = _sampled(docs, ids) if told or free else {}
     a, b = sorted(set(told) & set(seen)), sorted((set(free) & set(seen)) - set(told))
     stack = lambda at, v, n: np.array([seen[i][v] for i in at], "f8").reshape(-1, n)
-    return co_train(stack(a, 0, TEXT_DIMS), stack(a, 1, PAGE_DIMS), np.array([told[i] for i in a], "i8"), stack(b, 0, TEXT_DIMS), stack(b, 1, PAGE_DIMS))
+    return co_train(stack(a, 0, TEXT_DIMS + _COUNTS), stack(a, 1, PAGE_DIMS), np.array([told[i] for i in a], "i8"), stack(b, 0, TEXT_DIMS + _COUNTS), stack(b, 1, PAGE_DIMS))
 
 
 def score(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
     """``docs`` with ``text_score``, ``page_score``, the joint ``score`` (0 to 1) and ``keep``.
 
-    Every row is scored by its whole text; null and empty texts are empty ones. Labels of one class
+    Every row is scored by its whole text, however long; null and empty texts are empty ones, a null source, lang or
+    n_chars is a value like another. Labels of one class
     only, or none, give all rows the same score (kept, if there are none). Repeated rows stay. Columns of ``docs`` that
     clash with the new ones are replaced.
     """
