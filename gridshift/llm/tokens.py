@@ -9,8 +9,9 @@ import numpy as np
 #: A worker keeps at most this many words, and as many bare words, with their ids; beyond that it starts anew.
 KEPT_WORDS = 300_000
 
-#: Code points below U+0180 are their own canonical composition and lower-case alike in every library, but for these.
-_PLAIN = re.compile(r"[\x00-įı-ſ]*")
+#: Code points below U+0180 are their own canonical composition and lower-case alike in every library, but for U+0130. Those
+#: from U+001C to U+001F, U+0085 and U+00A0 are not white space to everyone.
+_PLAIN = re.compile(r"[\x00-\x1b\x20-\x84\x86-\x9f\xa1-\u012f\u0131-\u017f]*")
 
 _TOKENIZERS: dict = {}
 
@@ -101,7 +102,7 @@ class WordTokenizer:
 
     def ids(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
-        if "<|" in text or not (text.isascii() or _PLAIN.fullmatch(text)):
+        if "<|" in text or not _PLAIN.fullmatch(text):
             return self.library(text)
         known, made = self.words.get, self._word
         return b"".join([known(w) or made(w) for w in text.split()])
