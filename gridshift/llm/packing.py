@@ -11,7 +11,7 @@ No task and not the driver ever sees the pieces of a tier together.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_right, insort
+from bisect import bisect_right
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -64,19 +64,47 @@ def cut(docs: DataFrame, window: int = WINDOW, path: str | None = None, order: s
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), place).mapInArrow(pieces, PIECES + ", place long")
 
 
-def _tier(n: int, tiers: tuple[int, ...], window: int) -> int:
-    return next((t for t in tiers if n <= t), window)
+def tier_of(n: int, tiers: tuple[int, ...] = TIERS, window: int = WINDOW) -> int:
+    """The context size that a piece of ``n`` tokens is routed to: the least that holds it."""
+    return next((t for t in sorted(tiers) if n <= t), window)
+
+
+def exact_fill(pool: np.ndarray, room: int, deep: int = 3) -> list[int] | None:
+    """Lengths that ``pool`` (how many there are of each) still has and that add up to ``room`` exactly.
+
+    One piece, else two, the longer one as long as can be; else the longest that fits and then the same for the rest.
+    """
+    if not room:
+        return []
+    if room < len(pool) and pool[room] > 0:
+        return [room]
+    there = pool[1 : min(room, len(pool))] > 0
+    if len(there) == room - 1:
+        pairs = np.flatnonzero(there & there[::-1]) + 1
+        pairs = pairs[(2 * pairs > room) | (2 * pairs == room) & (pool[pairs] > 1)]
+        if len(pairs):
+            return [int(pairs[-1]), room - int(pairs[-1])]
+    fits = np.flatnonzero(there)
+    if not deep or not len(fits):
+        return None
+    n = int(fits[-1]) + 1
+    pool[n] -= 1
+    rest = exact_fill(pool, room - n, deep - 1)
+    pool[n] += 1
+    return None if rest is None else [n, *rest]
 
 
 def plan(counts: dict[int, int], window: int = WINDOW, tiers: tuple[int, ...] = TIERS) -> list[tuple[int, list[int], int]]:
     """Window patterns ``(tier, piece lengths, how many such windows)`` that use up ``counts``.
 
-    1. A piece as long as a tier is a window of its own.
-    2. In each shorter tier, a long piece and its exact complement make full windows; half of
-       what would fit is used, so that short pieces are left for gaps.
-    3. The rest goes into windows of ``window`` tokens: the longest piece left opens a window,
-       and the longest that still fits, from any tier, fills its gap (best fit decreasing). A
-       pattern is repeated as long as its counts last.
+    1. Each piece is routed to the least tier that holds it.
+    2. Each shorter tier is packed into exactly full windows (others would be padded to ``window``): each piece, the longest
+       first, with pieces of its own and shorter tiers that fill the rest to the token. Half of the pieces are kept back, to
+       fill gaps of long windows; so is what finds no exact fill.
+    3. The pieces of the longest tier, and what is left, go into windows of ``window`` tokens: the longest piece left opens a
+       window, and the longest that still fits, from any tier, fills its gap (best fit decreasing).
+
+    A pattern is repeated as long as its counts last. Patterns come tier by tier.
     """
     left = {k: v for k, v in counts.items() if v > 0}
     patterns: list[tuple[int, list[int], int]] = []
@@ -86,14 +114,28 @@ def plan(counts: dict[int, int], window: int = WINDOW, tiers: tuple[int, ...] =
         for n in lengths:
             left[n] -= times
 
-    for t in (*tiers, window):
+    for t in sorted(tiers):
         if left.get(t, 0):
-            use(t, [t], left[t])
-    for t in tiers:
-        for n in range(t - 1, t // 2, -1):
-            half = min(left.get(n, 0), left.get(t - n, 0)) // 2
-            if half:
-                use(t, [n, t - n], half)
+            use(t, [t], left[t])  # as long as the tier: full alone
+        routed = sorted((n for n, c in left.items() if c > 0 and tier_of(n, tiers, window) == t), reverse=True)
+        pool = np.zeros(t + 1, "i8")
+        for n, c in left.items():
+            if n < t:
+                pool[n] = c // 2
+        for n in routed:
+            while pool[n] > 0:
+                pool[n] -= 1
+                rest = exact_fill(pool, t - n)
+                pool[n] += 1
+                if rest is None:
+                    break
+                need = {m: [n, *rest].count(m) for m in (n, *rest)}
+                times = min(int(pool[m]) // k for m, k in need.items())
+                use(t, [n, *rest], times)
+                for m, k in need.items():
+                    pool[m] -= k * times
+    if left.get(window, 0):
+        use(window, [window], left[window])
     there = sorted(k for k, v in left.items() if v > 0)
     while there:
         lengths, room, need = [], window, {}
@@ -121,8 +163,8 @@ def plan(counts: dict[int, int], window: int = WINDOW, tiers: tuple[int, ...] =
 def places(patterns: list[tuple[int, list[int], int]], window: int = WINDOW, group_windows: int = 64) -> dict[str, np.ndarray]:
     """For each length, ranges of ranks with their first sequence, offset, tier and step groups.
 
-    Windows of a tier are dealt in turn to that tier's step groups; a step group holds the
-    tokens of ``group_windows`` long windows, and as each pattern's windows are dealt to all
+    Windows of a tier are dealt in turn to that tier's step groups, so these have equal numbers of windows but for one. A
+    step group holds the tokens of ``group_windows`` long windows, and as each pattern's windows are dealt to all
     groups, real tokens are balanced as well.
     """
     rows, used, sequence = [], {}, 0
@@ -153,8 +195,8 @@ def pack(docs: DataFrame, window: int = WINDOW, tiers: tuple[int, ...] = TIERS,
 
     Sequences hold at most ``window`` tokens; those of a shorter tier are exactly full
     (``window`` gives the context size). Null and empty texts are one end id. Repeated
-    documents are packed as often as they occur (rows with the same doc_id too). An empty
-    table gives no rows. Other columns of ``docs`` are ignored.
+    documents are packed as often as they occur (rows with the same doc_id too); very long ones are cut into full windows
+    and a rest. Pieces of one length are alike, ties between them go by doc_id and start. An empty table gives no rows. Other columns of ``docs`` are ignored.
 
     ``order`` names a column of whole numbers from 0, without nulls, that tells documents' order. It is cut into spans of
     about ``span`` windows (at most SPANS; shorter ones in small corpora); each is packed by itself, sequences and step groups are numbered span
