@@ -1,4 +1,7 @@
-"""Mixing sources to target weights with Pfair scheduling (operator 4)."""
+"""Mixing sources to target weights with Pfair scheduling (operator 4).
+
+Every block of a source has a release time and a deadline from its weight; earliest deadline first interleaves the sources.
+"""
 
 from __future__ import annotations
 
@@ -12,41 +15,11 @@ from . import common
 
 #: Documents in a block, the unit that is scheduled.
 BLOCK = 16
-#: Slots of one period of :func:`shares`; :func:`schedule` has no periods.
-PERIOD = 2048
+#: Blocks in the whole schedule, which the driver makes, at most: a block has as many more documents as that takes.
+BLOCKS = 1 << 20
 NEW = ["mix_block", "mix_position"]
 
 
-def shares(weights: np.ndarray, period: int = PERIOD) -> np.ndarray:
-    """Whole slots of a period, in proportion to ``weights`` by largest remainder, at least one each."""
-    weights = np.asarray(weights, "f8")
-    exact = weights / weights.sum() * (period - len(weights))
-    out = np.floor(exact).astype("i8")
-    for k in np.argsort(out - exact, kind="stable")[: period - len(weights) - int(out.sum())]:
-        out[k] += 1
-    return out + 1
-
-
-def period_order(slots: np.ndarray) -> list[int]:
-    """One period of the schedule: block j of source s may run from floor(j/w) and must before ceil((j+1)/w).
-
-    Earliest deadline first among the released; ties to the smaller source. As the weights add up
-    to one, no slot is idle and every source stays less than one block from its due share.
-    """
-    period = int(slots.sum())
-    release: list[list[tuple[int, int]]] = [[] for _ in range(period)]
-    for s, q in enumerate(slots.tolist()):
-        for j in range(q):
-            release[j * period // q].append((-(-(j + 1) * period // q), s))
-    ready: list[tuple[int, int]] = []
-    order = []
-    for t in range(period):
-        for x in release[t]:
-            heapq.heappush(ready, x)
-        order.append(heapq.heappop(ready)[1])
-    return order
-
-
 def schedule(blocks: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """The slot of every block, source after source, each source's blocks in turn.
 
@@ -98,15 +71,22 @@ class Placer:
         return b * self.block + rank % self.block - self.short_by[np.searchsorted(self.short_at, b, side="left")], b
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD) -> DataFrame:
+def positive(weights: list[float]) -> list[float]:
+    """The weights, those that are none (zero, negative, not finite) as small as the smallest that is; all one if none is."""
+    real = [w for w in weights if 0 < w < float("inf")]
+    least = min(real, default=1.0)
+    return [w if 0 < w < float("inf") else least for w in weights]
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, blocks: int = BLOCKS) -> DataFrame:
     """``docs`` with ``mix_block`` and ``mix_position``: every row once, in an order that keeps to the target weights.
 
     ``weights`` gives each source's share; sources not in it get the smallest weight in it. By
     default a source weighs the square root of its rows. In every prefix of blocks each source is
     less than one block from its share, by the weights as they are; when one runs out of rows, the
-    others share its slots, and nothing is dropped or repeated. The schedule is made on the driver, one number
-    a block. ``period`` is without effect: there are no rounded periods. A null source is
-    the empty one. Every source has a schedule of its own, however many there are (the driver holds a row for each). Within a
+    others share its slots, and nothing is dropped or repeated. The schedule is made on the driver, one number a block; so a block holds a ``blocks``-th of all documents, ``block`` at
+    least, and the driver's work and what executors get does not grow with the documents. Weights of zero, below it or not
+    finite count as the smallest there are: nothing is left out. A null source is the empty one. Every source has a schedule of its own, however many there are (the driver holds a row for each). Within a
     source, documents come in an order given by a hash of doc_id. Repeated rows stay, an
     empty table stays empty.
     """
@@ -121,11 +101,12 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
         return d.withColumn("mix_block", F.lit(0).cast("long")).withColumn("mix_position", F.lit(0).cast("long"))
     counts = [n for _, n in sizes]
     if weights:
-        least = min(weights.values())
+        least = min(positive(list(weights.values())))
         target = [weights.get(s, least) for s, _ in sizes]
     else:
         target = [n**0.5 for n in counts]
-    placer = Placer(counts, [max(w, 1e-12) for w in target], block)
+    block = max(block, -(-total // blocks))
+    placer = Placer(counts, positive(target), block)
     number = {s: k for k, (s, _) in enumerate(sizes)}
     d = d.withColumn("__mix_class", source)
     d = common.ranked(d.withColumn("__mix_hash", F.xxhash64("doc_id")), "__mix_class", ["__mix_hash", "doc_id"], "__mix_rank").drop("__mix_hash")
