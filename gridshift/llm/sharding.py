@@ -41,7 +41,7 @@ def boundaries(groups: DataFrame, shards: int) -> list[int]:
     """Order keys at which shards 1, 2, ... begin, from ``groups(h, bytes)``.
 
     The order keys' range is refined only where a cut can fall. Ranges are taken whole (an upper
-    bound of the best capacity) or as if they could be cut anywhere (a lower bound); the
+    bound of the best capacity) or as if they could be cut anywhere but in the largest group (a lower bound); the
     greedy cuts of both enclose those of every capacity between. Ranges of more than one group
     that such a cut can touch are split by the next bits, until none is left: then cutting
     between the ranges is as good as cutting between the groups. The driver holds ranges, never groups.
@@ -51,15 +51,16 @@ def boundaries(groups: DataFrame, shards: int) -> list[int]:
     def split(within: list[int] | None, bits: int):
         prefix = F.shiftrightunsigned(place, 64 - bits)
         g = groups if within is None else groups.where(F.shiftrightunsigned(place, 64 - bits + STEP).isin(within))
-        rows = g.groupBy(prefix.alias("p")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n")).collect()
-        return sorted((r["p"] << (64 - bits), r["bytes"], r["n"], bits) for r in rows)
+        rows = g.groupBy(prefix.alias("p")).agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n"), F.max("bytes").alias("most")).collect()
+        return sorted((r["p"] << (64 - bits), r["bytes"], r["n"], bits, r["most"]) for r in rows)
 
     ranges = split(None, STEP)
     while ranges:
         totals = np.array([r[1] for r in ranges], "i8")
         before = np.concatenate(([0], np.cumsum(totals)))
         all_bytes = int(before[-1])
-        least, most = -(-all_bytes // shards), capacity(totals, shards)
+        least = max(-(-all_bytes // shards), max(r[4] for r in ranges))  # a shard holds the largest group
+        most = capacity(totals, shards)
         touched, early, late = set(), 0, 0
         for _ in range(shards - 1):
             early = int(before[max(0, int(np.searchsorted(before, early + least, side="right")) - 1)])

@@ -1,5 +1,6 @@
 """Each operator against a plain version of itself, and the odd cases that its docstring names."""
 
+import functools
 import math
 import zlib
 from collections import Counter, defaultdict
@@ -29,10 +30,15 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-def ids_of(text):
+@functools.cache
+def library():
     from tokenizers import Tokenizer
 
-    return [*Tokenizer.from_file(tokenizer_path()).encode(text or "", add_special_tokens=False).ids, packing.END]
+    return Tokenizer.from_file(tokenizer_path())
+
+
+def ids_of(text):
+    return [*library().encode(text or "", add_special_tokens=False).ids, packing.END]
 
 
 def test_tokens_are_the_librarys():
@@ -41,6 +47,16 @@ def test_tokens_are_the_librarys():
         assert [*np.frombuffer(tok.ids(t or ""), "<u4").tolist(), packing.END] == ids_of(t), t
 
 
+def test_token_ids_of_all_low_characters():
+    """Each character below U+0180 in several places, and random strings of them."""
+    tok, rng = tokenizer(tokenizer_path()), np.random.default_rng(11)
+    texts = [t for c in map(chr, range(0x180)) for t in (f"a{c}b", f"{c}a b{c}", f"ab {c} c", c * 3, f"a.{c}", f"{c}'s a'{c}")]
+    for low in ([chr(k) for k in range(0x180)], list("ab \x1c\x1d\x1e\x1f\x85\xa0"), list("aB1 '\n\t.,-<|>/é")):
+        texts += ["".join(rng.choice(low, int(n))) for n in rng.integers(1, 13, 500)]
+    for t in texts:
+        assert tok.ids(t) == tok.library(t), repr(t)
+
+
 def check_packing(rows, texts):
     by_seq, by_doc = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -84,6 +100,33 @@ def test_packing_plan_uses_every_piece():
     assert len(set(zip(where["key"].tolist(), strict=True))) == len(where["key"])
 
 
+def test_tiers_are_packed_and_steps_balanced():
+    """Short pieces make full windows of their own tier, and half of them fill long windows' gaps; steps are alike."""
+    rng = np.random.default_rng(6)
+    counts = Counter(rng.integers(20, 500, 20_000).tolist() + rng.integers(500, 4097, 3000).tolist())
+    plan = packing.plan(counts)
+    tiers = Counter()
+    for tier, lengths, times in plan:
+        tiers[tier] += times
+        if tier < packing.WINDOW:
+            assert sum(lengths) == tier and packing.tier_of(lengths[0]) == tier and max(map(packing.tier_of, lengths)) == tier
+    assert set(tiers) == {512, 1024, 2048, 4096}
+    assert [t for t, _, _ in plan] == sorted(t for t, _, _ in plan)
+    short = sum(n * c for n, c in counts.items() if n <= 512)
+    assert 0.4 * short < sum(sum(x for x in lengths if x <= 512) * times for tier, lengths, times in plan if tier < packing.WINDOW) < 0.6 * short
+    where = packing.places(plan, group_windows=16)
+    windows, tokens = defaultdict(Counter), defaultdict(Counter)
+    for n, lo, hi, seq, tier, group, groups in zip(where["length"], where["lo"], [*where["lo"][1:], 0], where["sequence"], where["tier"], where["group"], where["groups"], strict=True):
+        for r in range((hi if hi > lo else counts[n]) - lo):
+            step = group + (seq + r) % groups
+            tokens[tier][step] += n
+            windows[tier][seq + r] = step
+    for tier in tokens:
+        sizes = Counter(windows[tier].values())
+        assert max(sizes.values()) - min(sizes.values()) <= 1
+        assert max(tokens[tier].values()) <= 1.1 * min(tokens[tier].values()) + 2 * tier
+
+
 def brute_simhash(rows, radius=4):
     from xxhash import xxh64_intdigest
 
@@ -262,14 +305,82 @@ def test_quality(spark, odd, empty):
     assert quality.score(empty, labels).count() == 0
 
 
-def test_pfair_lag():
-    slots = mixing.shares(np.array([5.0, 3, 1, 0.5, 0.01]), 512)
-    assert slots.sum() == 512 and slots.min() >= 1
-    order, run = mixing.period_order(slots), np.zeros(5)
-    for t, s in enumerate(order, 1):
-        run[s] += 1
-        assert (np.abs(run - slots * t / 512) < 1).all()
-    assert (run == slots).all()
+def plain_views(text, lang, source, n_chars):
+    """Both views of a document counted one by one."""
+    raw, words, lines = text.encode(), text.split(), text.split("\n")
+    pairs = np.zeros(quality.TEXT_DIMS)
+    for a, b in zip(raw, raw[1:]):
+        pairs[(a * 131 + b) % quality.TEXT_DIMS] += 1
+    n, w = max(1, len(text)), max(1, len(words))
+    among = lambda low, high: sum(low <= b <= high for b in raw)
+    upper, lower, digits, high = among(65, 90), among(97, 122), among(48, 57), among(128, 255)
+    spaces, stops = raw.count(b" ") + raw.count(b"\n"), raw.count(b".") + raw.count(b",")
+    marks, kinds = len(raw) - upper - lower - spaces - digits - high, len(set(words))
+    doubled = sum(a == b for a, b in zip(words, words[1:]))
+    counts = [math.log1p(n), math.log1p(w), math.log1p(len(lines)), math.log1p(w / len(lines)), kinds / w, kinds / w**0.7, len(set(lines)) / len(lines)]
+    counts += [upper / max(1, upper + lower), marks / w, (marks - stops) / w, stops / w, digits / n, spaces / n, n / w + doubled / w]
+    page = {zlib.crc32(("=" + lang).encode() if lang is not None else b"") % 64: 1, 64 + zlib.crc32(("=" + source).encode() if source is not None else b"") % 64: 1}
+    page |= {128 + min(23, len(bin(n_chars or 0)) - 2 if n_chars else 0): 1, 152: math.log1p(n_chars or 0), 153: n_chars is None}
+    return [*(math.sqrt(p / max(1, sum(pairs))) for p in pairs), *counts], [page.get(k, 0) for k in range(154)]
+
+
+def test_quality_against_a_plain_version(spark):
+    """Features counted plainly, and models applied and trained by the formulas alone; the page view never sees the text."""
+    docs, labels = common.documents(spark, SF), common.documents(spark, SF, "labels")
+    rows, told = docs.collect(), {r.doc_id: r.quality for r in labels.collect()}
+    seen = {}
+    for r in rows:
+        if len(r.text or "") < 20_000:
+            plain = plain_views(r.text or "", r.lang, r.source, r.n_chars)
+            seen[r.doc_id] = plain
+            for a, b in zip(quality.views(r.text, r.lang, r.source, r.n_chars), plain, strict=True):
+                assert np.allclose(a, b, atol=1e-9)
+    few = docs.where(F.col("doc_id").isin(list(seen)))
+    model = quality.fit(few, labels)
+    # the same models from plain features
+    ids = sorted(i for i in told if i in seen)
+    free = sorted(set(seen) - set(ids))
+    stack = lambda at, v: np.array([np.array(seen[i][v], "f4") for i in at], "f8")
+    again = quality.co_train(stack(ids, 0), stack(ids, 1), np.array([int(told[i] > 0) for i in ids]), stack(free, 0), stack(free, 1))
+    assert np.allclose(model["share"], again["share"], atol=1e-5)
+    for m, (a, b), v in zip(model["views"], model["fit"], (0, 1), strict=True):
+        x = stack(ids, v)
+        assert np.allclose(a * m.logit(x) + b, again["fit"][v][0] * again["views"][v].logit(x) + again["fit"][v][1], atol=1e-3)
+    for r in quality.score(few, labels).collect():
+        z = 0
+        for v, m in enumerate(model["views"]):
+            by_hand = sum(w * min(8, max(-8, (x - c) / s)) for w, x, c, s in zip(m.w, seen[r.doc_id][v], m.mean, m.scale)) + m.w[-1]
+            z += model["share"][v] * min(30, max(-30, by_hand * model["fit"][v][0] + model["fit"][v][1]))
+        assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-6 and r.keep == (r.score >= 0.5)
+
+
+def test_logistic_is_at_its_optimum():
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(300, 6)), (rng.random(300) < 0.3).astype("i8")
+    m = quality.Logistic(x, y, 2.0, steps=50)
+    each = np.where(y == 1, 150 / y.sum(), 150 / (y == 0).sum())
+    z = np.hstack([(x - x.mean(0)) / x.std(0), np.ones((300, 1))])
+    grad = z.T @ (each * (1 / (1 + np.exp(-z @ m.w)) - y)) + np.array([2.0] * 6 + [1e-6]) * m.w
+    assert np.abs(grad).max() < 1e-6
+
+
+def test_views_teach_each_other():
+    """Text tells the class at once; the page view learns it from what the text view labels."""
+    rng = np.random.default_rng(3)
+    make = lambda n: (y := rng.integers(0, 2, n), rng.normal(size=(n, 20)) + 3 * y[:, None], np.eye(8)[2 * rng.integers(0, 4, n) + y])
+    (y, t, p), (_, ft, fp), (ty, tt, tp) = make(24), make(400), make(400)
+    right = lambda m: ((m["views"][1].logit(tp) > 0) == ty).mean()
+    assert right(quality.co_train(t, p, y, ft, fp)) >= right(quality.co_train(t, p, y, ft[:0], fp[:0])) and right(quality.co_train(t, p, y, ft, fp)) > 0.95
+
+
+def test_labels_of_other_documents_take_no_place(spark, monkeypatch):
+    """Labels of many documents that are not there don't crowd out those that are, nor repeated rows; the worst of several labels counts."""
+    monkeypatch.setattr(quality, "LABELLED", 150)
+    docs = common.documents(spark, SF)
+    labels = common.documents(spark, SF, "labels").select("doc_id", "quality")
+    more = labels.unionByName(spark.range(10**6, 10**6 + 20_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))).unionByName(labels.withColumn("quality", F.lit(1)))
+    a, b = (sorted((r.doc_id, round(r.score, 9)) for r in quality.score(d, x).collect()) for d, x in ((docs, labels), (docs.union(docs), more)))
+    assert a == sorted(set(b)) and len({s for _, s in a}) > 50
 
 
 def test_mixing(spark, odd, empty):
@@ -277,7 +388,7 @@ def test_mixing(spark, odd, empty):
     assert [r.mix_position for r in rows] == list(range(odd.count()))
     assert mixing.mix(empty).count() == 0
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 < 7, "a").when(F.col("id") % 10 < 9, "b").otherwise("c").alias("source"))
-    rows = mixing.mix(docs, {"a": 1, "b": 1, "c": 2}, block=4, period=64).orderBy("mix_position").collect()
+    rows = mixing.mix(docs, {"a": 1, "b": 1, "c": 2}, block=4).orderBy("mix_position").collect()
     assert [r.mix_position for r in rows] == list(range(3000)) and len({r.doc_id for r in rows}) == 3000
     run = Counter()
     for t, r in enumerate(rows[:480], 1):  # c has 300 rows: it lasts about 600
@@ -441,6 +552,34 @@ def test_language_that_cannot_be_told(spark):
     assert {r.doc_id for r in langid.known_language(one).collect()} == {*range(0, 40, 2), 100, 101, 102}
 
 
+def test_mixing_of_odd_weights(spark):
+    """Weights of zero, below zero, not finite and of no source: every row still has a place."""
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 5).alias("source"))
+    for weights in ({"s0": 0.0, "s1": -1.0, "s2": float("nan"), "s3": float("inf"), "s4": 2.0}, {"s0": 0.0}, {"none": 1.0}, {}):
+        assert sorted(r.mix_position for r in mixing.mix(docs, weights).collect()) == list(range(300)), weights
+    few = mixing.mix(docs, blocks=10).collect()
+    assert max(r.mix_block for r in few) < 15 and sorted(r.mix_position for r in few) == list(range(300))
+
+
+def test_hot_text_keeps_ranges_few(spark, monkeypatch):
+    """A text of half the bytes among 20,000 groups: the driver sees ranges of hashes, far fewer than groups."""
+    rng, seen = np.random.default_rng(9), []
+    h = rng.integers(-(2**63), 2**63 - 1, 20_000)
+    b = rng.integers(1, 1000, 20_000)
+    b[7] = b.sum()
+    real = sharding.capacity
+    monkeypatch.setattr(sharding, "capacity", lambda totals, shards: seen.append(len(totals)) or real(totals, shards))
+    begin = [x - 2**63 for x in sharding.boundaries(spark.createDataFrame(list(zip(h.tolist(), b.tolist(), strict=True)), "h long, bytes long"), 8)]
+    sums = Counter()
+    for k, s in zip(h.tolist(), b.tolist(), strict=True):
+        sums[sum(k >= x for x in begin)] += s
+    order = np.argsort(h)
+    assert max(sums.values()) == real(b[order], 8) and max(seen) < 5000
+    text = "hot " * 5000
+    rows = sharding.shard(spark.createDataFrame([(k, text if k % 2 else f"t{k}") for k in range(400)], "doc_id long, text string")).collect()
+    assert len({r.shard for r in rows if r.doc_id % 2}) == 1 and sorted(r.doc_id for r in rows) == list(range(400))
+
+
 def test_sharding(spark, odd, empty):
     docs = common.documents(spark, SF).select("doc_id", "text").union(odd.select("doc_id", "text"))
     rows = sharding.shard(docs, 5).collect()
