@@ -676,17 +676,45 @@ def test_html(spark):
     assert html.extract(rows.limit(0)).count() == 0
 
 
-def test_pages(spark):
-    """The test pages' articles, taken out by their own tags."""
+@pytest.mark.parametrize("tag", ["article", "div", "section class=x", "none"])
+def test_pages(spark, tag):
+    """The test pages' articles, taken out by their own tags; found as well if other tags, or none, take their place."""
     import re
     from html import unescape
 
-    pages = common.documents(spark, SF, "pages")
-    got = {r.page_id: r.text for r in html.extract(pages).collect()}
-    for r in pages.collect():
+    for r in common.documents(spark, SF, "pages").collect():
         body = r.html.split("<article>")[1].split("</article>")[0].split("<footer>")[0]
         lines = (" ".join(unescape(re.sub(r"</?b>", "", x).replace("<br>", " ")).split()) for x in re.split(r"</?(?:p|h1)>", body))
-        assert got[r.page_id] == "\n".join(x for x in lines if x)
+        page = r.html.replace("<article>", f"<{tag}>").replace("</article>", f"</{tag.split()[0]}>")
+        if tag == "none":
+            page = r.html.replace("<article>", "").replace("</article>", "")
+        assert html.main_text(page) == "\n".join(x for x in lines if x), r.page_id
+
+
+def test_articles_are_kept_whole():
+    """Reference lists, labels, and elements whose names only sound like furniture's, with and without an <article>."""
+    para = "<p>A paragraph, of some length, with commas, and more words, to be sure that it is one.</p>"
+    inner = (
+        "<h1>Title</h1>" + para + '<div id="login-flow"><p>The login flow.</p></div><div class="social-history"><p>History, of society.</p></div>'
+        '<p class="notice-period">Two weeks.</p><label>A label.</label>' + para + "<ul><li><a href=1>A long title of a paper, 2014</a></li><li><a href=2>Another long title of one</a></li></ul>"
+    )
+    want = ["Title", "A paragraph, of some length, with commas, and more words, to be sure that it is one.", "The login flow.", "History, of society.", "Two weeks.", "A label."]
+    want = "\n".join([*want, want[1], "A long title of a paper, 2014", "Another long title of one"])
+    around = '<div class="ad-slot"><p>Buy this, buy that.</p></div><div id=comments><p>A comment, of a reader, who has a lot, really a lot, to say.</p></div><div class="site-footer">Foot</div>'
+    for tag in ("article", "div", "section", "main"):
+        assert html.main_text(f"<body><nav>Menu</nav><{tag}>{inner}</{tag}>{around}</body>") == want, tag
+    sections = "".join(f"<section><h2>Part {k}</h2>{para * (1 + 5 * (k == 2))}</section>" for k in range(4))
+    deep = "<div>" * 12 + sections + "</div>" * 12
+    got = html.main_text(f"<body>{deep}{around}</body>").split("\n")
+    assert [x for x in got if x.startswith("Part")] == [f"Part {k}" for k in range(4)] and len(got) == 4 + 9
+    menu = "<ul><li><a href=a>Home</a></li><li><a href=b>News</a></li></ul>"
+    assert html.main_text(f"<body>{menu}<h1>Title</h1>{para}{menu}</body>") == "Title\n" + want.split("\n")[1]
+    assert html.main_text(f'<body><div class="sidebar main">{para * 9}</div><p>Foot.</p></body>').count("A paragraph") == 9
+
+
+def test_html_of_clashing_columns(spark):
+    rows = spark.createDataFrame([(1, "u", "<p>One, two.</p>", "mine", "x")], "page_id int, url string, html string, text string, n_chars string")
+    assert [tuple(r) for r in html.extract(rows).collect()] == [(1, "u", "One, two.", 9)]
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
