@@ -55,12 +55,12 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 class Element:
     """An element; ``named`` says that its class or id is furniture's: 1, or 2 if readers' comments'."""
 
-    __slots__ = ("tag", "parent", "inside", "gone", "named", "points", "text", "linked")
+    __slots__ = ("tag", "parent", "inside", "gone", "named", "points", "text", "linked", "commas")
 
     def __init__(self, tag, parent, gone=False, named=0):
         self.tag, self.parent, self.gone, self.named = tag, parent, gone, named
         self.inside: list = []
-        self.points, self.text, self.linked = 0.0, 0, 0
+        self.points, self.text, self.linked, self.commas = 0.0, 0, 0, 0
 
 
 def _furniture(tag: str, attrs: str) -> tuple[bool, int]:
@@ -153,7 +153,7 @@ def parse(html: str) -> Element:
 
 
 def _measure(root: Element) -> list[Element]:
-    """All elements that stay, parents first; each one's letters of text, and of text in links."""
+    """All elements that stay, parents first; each one's letters of text and of text in links, and commas."""
     order, todo = [], [root]
     while todo:
         e = todo.pop()
@@ -161,14 +161,16 @@ def _measure(root: Element) -> list[Element]:
             order.append(e)
             todo += [c for c in e.inside if isinstance(c, Element)]
     for e in order:
-        e.text = e.linked = 0
+        e.text = e.linked = e.commas = 0
     for e in reversed(order):
         e.text += sum(len(c.strip()) for c in e.inside if isinstance(c, str))
+        e.commas += sum(c.count(",") + c.count("、") for c in e.inside if isinstance(c, str))
         if e.tag == "a":
             e.linked = e.text
         if e.parent is not None:
             e.parent.text += e.text
             e.parent.linked += e.linked
+            e.parent.commas += e.commas
     return order
 
 
@@ -176,17 +178,6 @@ def _density(e: Element) -> float:
     return e.linked / e.text if e.text else 0.0
 
 
-def _plain(e: Element) -> str:
-    out, todo = [], [e]
-    while todo:
-        x = todo.pop()
-        if isinstance(x, str):
-            out.append(x)
-        elif not x.gone:
-            todo += reversed(x.inside)
-    return "".join(out)
-
-
 def _score(order: list[Element]) -> None:
     """Points of all containers. A paragraph has a point, one a comma and one a hundred characters (three at most), discounted by
     the share of its text in links.
@@ -203,9 +194,12 @@ def _score(order: list[Element]) -> None:
             carried[min(far + 1, _FAR)] = carried.get(min(far + 1, _FAR), 0.0) + points
         own = e.tag in PARAGRAPHS or e.tag in _BOXES and any(isinstance(c, str) and c.strip() for c in e.inside)
         if own and e.text:
-            text = _plain(e) if e.tag in PARAGRAPHS else " ".join(c for c in e.inside if isinstance(c, str))
-            n = len(text.strip())
-            points = (min(1.0, n / 25) + text.count(",") + text.count("、") + min(n // 100, 3)) * (1 - _density(e))
+            if e.tag in PARAGRAPHS:
+                n, commas = e.text, e.commas
+            else:
+                text = " ".join(c for c in e.inside if isinstance(c, str)).strip()
+                n, commas = len(text), text.count(",") + text.count("、")
+            points = (min(1.0, n / 25) + commas + min(n // 100, 3)) * (1 - _density(e))
             if e.tag in PARAGRAPHS:
                 carried[0] = carried.get(0, 0.0) + points
             else:

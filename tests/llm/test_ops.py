@@ -712,6 +712,12 @@ def test_articles_are_kept_whole():
     assert html.main_text(f'<body><div class="sidebar main">{para * 9}</div><p>Foot.</p></body>').count("A paragraph") == 9
 
 
+def test_deeply_nested_pages_take_linear_time():
+    for n in (20_000,):
+        assert html.main_text("<ul><li>text, and so on " * n).count("text") == n
+        assert html.main_text("<div>text, and " * n).count("text") == n
+
+
 def test_html_of_clashing_columns(spark):
     rows = spark.createDataFrame([(1, "u", "<p>One, two.</p>", "mine", "x")], "page_id int, url string, html string, text string, n_chars string")
     assert [tuple(r) for r in html.extract(rows).collect()] == [(1, "u", "One, two.", 9)]
