@@ -10,15 +10,17 @@ from pyspark.sql import functions as F
 
 from . import common
 
-CURVES = 2
+CURVES = 4
 #: Projected dimensions and bits a dimension; their product is at most 62.
 DIMS, BITS = 8, 7
-#: Rows of one key range ("bucket") of a curve, and of the stretch of neighbouring buckets that is one unit of work.
-BUCKET, STRETCH = 2048, 8192
-#: Queries that meet a bucket in one unit of work, about.
-QUERY_BLOCK = 4096
+#: Each curve turns the AXES directions of most variance its own way; they are those of a sample of so many vectors.
+AXES, SAMPLE = 16, 4096
+#: Rows of one key range of a curve (a stretch, the unit of work), and of one of its buckets, in which windows are counted.
+STRETCH, BUCKET = 8192, 32
+#: Queries that meet a stretch in one unit of work, about; queries that are scored against their common window at a time.
+QUERY_BLOCK, TOGETHER = 4096, 32
 #: The windows' width is measured on this many queries, and is the least that finds this share of their true neighbours.
-CALIBRATION, RECALL = 64, 0.97
+CALIBRATION, RECALL = 128, 0.96
 _SLACK = 1e-9
 
 
@@ -55,13 +57,22 @@ def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     return out
 
 
-def curve_keys(vectors: np.ndarray, curve: int) -> np.ndarray:
-    """Hilbert keys of unit vectors on one curve: projected on random orthogonal axes, shifted by part of a cell."""
-    d = vectors.shape[1]
+def axes_of(sample: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The mean of unit vectors, and their directions of most variance, each as a column."""
+    mean = sample.mean(axis=0)
+    _, turned = np.linalg.eigh((sample - mean).T @ (sample - mean))
+    return mean, turned[:, ::-1][:, :AXES]
+
+
+def curve_keys(vectors: np.ndarray, curve: int, mean: np.ndarray, axes: np.ndarray, spread: float) -> np.ndarray:
+    """Hilbert keys of unit vectors on one curve: the main axes turned at random, shifted by part of the grid.
+
+    Six times ``spread`` to either side fill half of the grid, and the shift is up to the other half.
+    """
     rng = np.random.default_rng(1_000 + curve)
-    axes, _ = np.linalg.qr(rng.standard_normal((d, min(DIMS, d))))
-    at = vectors @ axes * math.sqrt(d) / 4 + 1 + rng.random(axes.shape[1]) * 2.0 ** (1 - BITS)
-    return hilbert(np.clip(np.floor(at * 2 ** (BITS - 1)), 0, 2**BITS - 1), BITS)
+    turn, _ = np.linalg.qr(rng.standard_normal((axes.shape[1], min(DIMS, axes.shape[1]))))
+    at = (vectors - mean) @ (axes @ turn) / (12 * spread) + 0.25 + rng.random(turn.shape[1]) * 0.5
+    return hilbert(np.clip(np.floor(at * 2**BITS), 0, 2**BITS - 1), BITS)
 
 
 def _units(vectors: np.ndarray) -> np.ndarray:
@@ -128,19 +139,31 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
     return found.distinct().withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def search(vectors: DataFrame, every: int = 50, k: int = 5, curves: int = CURVES, bucket: int = BUCKET) -> DataFrame:
+def _scored(q, qids, qb, rows, ids, rb, width: int, k: int):
+    """Each query's k nearest among the rows whose bucket is within ``width`` of its own; a batch for some queries at a time."""
+    order, mine = np.argsort(rb, kind="stable"), np.argsort(qb, kind="stable")
+    rows, ids, rb, q, qids, qb = rows[order], ids[order], rb[order], q[mine], qids[mine], qb[mine]
+    for i in range(0, len(q), TOGETHER):
+        some = slice(i, i + TOGETHER)
+        a = np.searchsorted(rb, qb[some][0] - width, side="left")
+        b = np.searchsorted(rb, qb[some][-1] + width, side="right")
+        beyond = np.abs(qb[some][:, None] - rb[None, a:b]) > width
+        yield nearest(q[some], qids[some], rows[a:b], ids[a:b], k, beyond)
+
+
+def search(vectors: DataFrame, every: int = 50, k: int = 5, curves: int = CURVES, stretch: int = STRETCH, bucket: int = BUCKET) -> DataFrame:
     """The k nearest found, by cosine, of each row whose vec_id is divisible by ``every``.
 
-    All rows are ordered along several Hilbert curves and range-partitioned into buckets; a query meets the
-    buckets within ``width`` of its own on each curve (neighbouring buckets are merged into
-    stretches, each searched as one unit), and what the curves find is merged and
+    All rows are ordered along several Hilbert curves, each over a turned and shifted grid of the directions of most variance,
+    and range-partitioned into stretches of neighbouring keys, cut into buckets. A query meets the buckets within
+    ``width`` of its own on each curve (stretches that its window reaches into are merged), and what the curves find is merged and
     ranked again by the exact cosine. ``width`` is measured: the true neighbours of at most
     CALIBRATION queries (found by scanning all rows) tell the least width that reaches RECALL.
     On data without structure that is most of the curve; it is never capped.
 
     Rows with a null vec_id or a null, zero or non-finite vector take no part; shorter vectors count as
     filled up with zeros. Rows that share the query's vec_id are not its candidates; rows repeated under
-    one vec_id with one score count once. Fewer candidates than k: all of them. No rows: none.
+    one vec_id with one score count once. Ties go to the smaller vec_id. Fewer candidates than k: all of them. No rows: none.
     """
     spark = vectors.sparkSession
     common.ship(spark)
@@ -148,6 +171,10 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, curves: int = CURVES
     n, dims = v.agg(F.count("*"), F.max(F.size("embedding"))).first()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    drawn = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+    drawn = _units(np.array([[*r["embedding"], *[0.0] * (dims - len(r["embedding"]))] for r in drawn]))
+    mean, axes = axes_of(drawn)
+    spread = max(float(((drawn - mean) @ axes).std()), 1e-6)
 
     def keys(batches):
         import pyarrow as pa
@@ -158,46 +185,57 @@ def search(vectors: DataFrame, every: int = 50, k: int = 5, curves: int = CURVES
             m = common.matrix(b.column(1))
             m = _units(np.pad(m, ((0, 0), (0, dims - m.shape[1]))))
             for c in range(curves):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), c, "i4")), pa.array(curve_keys(m, c)), *b.columns], names=["curve", "key", "vec_id", "embedding"])
+                key = pa.array(curve_keys(m, c, mean, axes, spread))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), c, "i4")), key, *b.columns], names=["curve", "key", "vec_id", "embedding"])
 
     keyed = common.staged(v.mapInArrow(keys, "curve int, key long, vec_id long, embedding array<double>"))
-    parts = [
-        keyed.where(F.col("curve") == c).repartitionByRange(max(1, -(-n // bucket)), "key", "vec_id").withColumn("bucket", F.spark_partition_id())
-        for c in range(curves)
-    ]
-    at = parts[0]
-    for p in parts[1:]:
-        at = at.unionByName(p)
-    at = common.staged(at.select("curve", "bucket", "vec_id", "embedding"))
-    buckets = at.agg(F.max("bucket")).first()[0] + 1
-    width = _width(at, every, k, curves, buckets)
+    stretches, cuts = max(1, -(-n // stretch)), max(1, stretch // bucket)
+
+    def cut(batches):
+        """One stretch, all rows of this partition, in order of its keys and cut into equal buckets."""
+        import pyarrow as pa
+
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        order = np.lexsort((t.column("vec_id").to_numpy(), t.column("key").to_numpy()))
+        first = int(t.column("stretch")[0].as_py()) * cuts
+        buckets = np.empty(len(order), "i8")
+        buckets[order] = first + np.arange(len(order)) * cuts // len(order)
+        t = t.select(["curve", "stretch", "vec_id", "embedding"]).add_column(2, "bucket", pa.array(buckets))
+        yield from t.to_batches(max_chunksize=4096)
+
+    at = None
+    for c in range(curves):
+        part = keyed.where(F.col("curve") == c).repartitionByRange(stretches, "key", "vec_id").withColumn("stretch", F.spark_partition_id())
+        part = part.mapInArrow(cut, "curve int, stretch int, bucket long, vec_id long, embedding array<double>")
+        at = part if at is None else at.unionByName(part)
+    at = common.staged(at)
+    width = window_width(at, every, k)
 
     asked = at.where(F.col("vec_id") % every == 0)
-    stretch = max(1, round(STRETCH * buckets / n))
-    per_stretch = n / every * (2 * width + stretch) / buckets
-    blocks = max(1, math.ceil(min(per_stretch, n / every) / QUERY_BLOCK))
+    meets = n / every * min(1.0, (2 * width + cuts) / (cuts * stretches))
+    blocks = max(1, math.ceil(meets / QUERY_BLOCK))
     names = ["curve", "stretch", "block", "asks", "bucket", "vec_id", "embedding"]
-    rows = at.withColumn("stretch", F.expr(f"bucket div {stretch}")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("asks", F.lit(0))
-    ends = f"greatest(0, bucket - {width}) div {stretch}", f"least({buckets - 1}, bucket + {width}) div {stretch}"
-    asked = asked.withColumn("stretch", F.explode(F.sequence(*map(F.expr, ends)))).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("asks", F.lit(1))
+    rows = at.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("asks", F.lit(0))
+    ends = f"cast(greatest(0, bucket - {width}) div {cuts} as int)", f"cast(least({cuts * stretches - 1}, bucket + {width}) div {cuts} as int)"
+    asked = asked.withColumn("stretch", F.explode(F.sequence(*map(F.expr, ends)))).withColumn("asks", F.lit(1))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
     units = rows.select(names).unionByName(asked.select(names)).repartition("curve", "stretch", "block").sortWithinPartitions("curve", "stretch", "block", "asks")
 
     def score(batches):
         for _, t in common.runs(batches, ["curve", "stretch", "block"]):
             asks = t.column("asks").to_numpy() == 1
-            ids, bucket, m = t.column("vec_id").to_numpy(), t.column("bucket").to_numpy(), common.matrix(t.column("embedding"))
-            q, qids, qb, rows, rids, rb = m[asks], ids[asks], bucket[asks], m[~asks], ids[~asks], bucket[~asks]
-            for i in range(0, len(q), 256):
-                beyond = np.abs(qb[i : i + 256, None] - rb[None, :]) > width
-                yield _batch(nearest(q[i : i + 256], qids[i : i + 256], rows, rids, k, beyond))
+            ids, buckets, m = t.column("vec_id").to_numpy(), t.column("bucket").to_numpy(), common.matrix(t.column("embedding"))
+            for found in _scored(m[asks], ids[asks], buckets[asks], m[~asks], ids[~asks], buckets[~asks], width, k):
+                yield _batch(found)
 
     return _ranked(units.mapInArrow(score, FOUND), k)
 
 
-def _width(at: DataFrame, every: int, k: int, curves: int, buckets: int) -> int:
+def window_width(at: DataFrame, every: int, k: int) -> int:
     """The least number of buckets to either side with which the calibration queries find RECALL of their true neighbours."""
-    if buckets == 1:
-        return 0
     drawn = at.where((F.col("curve") == 0) & (F.col("vec_id") % every == 0)).orderBy(F.xxhash64("vec_id"), "vec_id").limit(CALIBRATION).select("vec_id", "embedding").collect()
     if not drawn:
         return 0
