@@ -13,7 +13,7 @@ from . import common
 from .ann import first_of, usable
 
 #: Rows of one tree, queries of one unit of work, entries of a leaf page and of an inner node.
-SHARD, QUERY_BLOCK, PAGE, FANOUT = 16_384, 4096, 256, 8
+SHARD, QUERY_BLOCK, PAGE, FANOUT = 16_384, 4096, 512, 8
 #: Relative slack of every bound, against rounding; bounds only save work, scores are exact integers.
 _EPS = 1e-9
 
