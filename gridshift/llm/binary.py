@@ -127,7 +127,11 @@ def write(docs: DataFrame, path: str, **options) -> None:
 
 
 def digests(matrix: DataFrame) -> DataFrame:
-    """One row a segment: where it is from, where it is, and the CRC-32 of its ids."""
+    """One row a segment: where it is from, where it is, and the CRC-32 of its ids.
+
+    A segment keeps its document's null doc_id; equal documents have segments of their own; the end id of a null or empty text is
+    a segment of length one; a long text has as many segments as rows. No rows for an empty matrix. Other columns are ignored.
+    """
     common.ship(matrix.sparkSession)
 
     def told(batches):

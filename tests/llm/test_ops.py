@@ -157,8 +157,8 @@ def test_simhash(spark, odd, empty):
     docs = common.documents(spark, SF)
     want = brute_simhash([(r.doc_id, r.text) for r in docs.collect()])
     assert sorted(map(tuple, simhash.near_duplicates(docs).collect())) == want
-    got = simhash.near_duplicates(odd.where("length(text) < 1000 or text is null")).collect()
-    some = [(r.doc_id, r.text) for r in odd.collect() if r.doc_id is not None and len(r.text or "") < 1000]
+    got = simhash.near_duplicates(odd).collect()
+    some = [(r.doc_id, r.text) for r in odd.collect() if r.doc_id is not None]
     assert sorted(tuple(r) for r in got if r.doc_id is not None) == brute_simhash(some)
     assert simhash.near_duplicates(empty).count() == 0
 
@@ -660,6 +660,27 @@ def test_binary(spark, odd, empty, tmp_path):
     assert len(back[2][0]) == 3 and binary.packed(empty).count() == 0
 
 
+def test_digests_of_the_registered_query(spark, odd, empty):
+    """What op8 returns, from ids of the library alone: each id in one segment, segments gapless, the packing best fit decreasing."""
+    docs = common.documents(spark, SF)
+    for got, texts in ((queries.op8_binary(spark, SF).collect(), [(r.doc_id, r.text) for r in docs.collect()]), (binary.digests(binary.packed(odd)).collect(), [(r.doc_id, r.text) for r in odd.collect()])):
+        want = Counter()
+        for doc, text in texts:
+            ids = ids_of(text)
+            for at in range(0, len(ids), binary.WINDOW):
+                part = ids[at : at + binary.WINDOW]
+                want[doc, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes())] += 1
+        assert Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in got) == want
+        by_row = defaultdict(list)
+        for r in got:
+            by_row[r.row_id].append(r)
+        for rs in by_row.values():
+            rs.sort(key=lambda r: r.segment)
+            assert [r.segment for r in rs] == list(range(len(rs))) and [r.offset for r in rs] == np.cumsum([0, *(r.length for r in rs)]).tolist()[:-1]
+            assert sum(r.length for r in rs) <= binary.WINDOW
+    assert binary.digests(binary.packed(empty)).count() == 0
+
+
 def test_best_fit_decreasing():
     rng = np.random.default_rng(4)
     lengths = rng.integers(1, 101, 400).tolist()
