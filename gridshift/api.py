@@ -13,7 +13,7 @@ from .functions.geometry import dim_chunks_to_targets, shape_dict_to_tuple
 from .meta import DIMENSION_KEY
 from .operators.pipeline import ArrayProxy, Copies, CopySpec, executor as named_executor
 from .plans.planner import parse_bytes, rechunking_plan
-from .sources import store
+from .sources import files, store, zarr
 from .sources.frames import ArrayFrame, DatasetFrame, GroupFrame
 
 
@@ -50,7 +50,7 @@ class Rechunked:
 
 def rechunk(
     source: ArrayFrame | GroupFrame | DatasetFrame, target_chunks, max_mem: int | str, target_store, target_options: dict | None = None, temp_store=None, temp_options: dict | None = None,
-    executor: str | Any = "spark", array_name: str | None = None, strict_temp: bool = True, spark: SparkSession | None = None,
+    executor: str | Any = "spark", array_name: str | None = None, strict_temp: bool = True, spark: SparkSession | None = None, target_format: str = "parquet",
 ) -> Rechunked:
     """Plan to write ``source`` to ``target_store`` with other chunks, no block of more than ``max_mem`` bytes.
 
@@ -58,17 +58,21 @@ def rechunk(
     for a group a dict of arrays, only those named are copied; for a dataset such a dict or one of
     dimensions, all variables are copied. Stores are paths on any file system that Spark reaches, or a
     GroupFrame. A plan that exchanges pieces asks for a ``temp_store`` (its description is put there; the
-    pieces themselves go through Spark's shuffle) unless ``strict_temp`` is false.
+    pieces themselves go through Spark's shuffle, or with the executor "spark-temp" through that store) unless
+    ``strict_temp`` is false. ``target_format``: "parquet" (chunk rows) or "zarr" (version 2 files, a file a chunk). A target or
+    temporary store must not be where the source is.
     """
+    if target_format not in ("parquet", "zarr"):
+        raise ValueError(f"target_format must be parquet or zarr, not {target_format!r}")
     run = named_executor(executor) if isinstance(executor, str) else executor
     max_mem = parse_bytes(max_mem)
     if isinstance(source, (GroupFrame, DatasetFrame)):
         if not isinstance(target_chunks, dict):
-            raise ValueError("You must specify ``target-chunks`` as a dict when rechunking a group or dataset.")
+            raise ValueError("target_chunks of a group or dataset must be given as a dict")
         if array_name is not None:
             raise ValueError("Can't specify `array_name` when rechunking a group or dataset.")
     elif not isinstance(source, ArrayFrame):
-        raise ValueError(f"Source must be a Zarr Array, Zarr Group, Dask Array or Xarray Dataset (not {type(source)}).")
+        raise ValueError(f"Source must be an ArrayFrame, a GroupFrame or a DatasetFrame; this is of {type(source)}")
     spark = spark or (source.df.sparkSession if isinstance(source, ArrayFrame) else next(iter(source.arrays.values())).df.sparkSession)
     if temp_options is None:
         temp_options = target_options
@@ -78,14 +82,16 @@ def rechunk(
             raise ValueError("Can't rechunk an array into a group without a name for the array.")
         target_path = store.child(_path(target_store), array_name if into else None)
         temp_path = None if temp_store is None else store.child(_path(temp_store), (array_name or "temp") if isinstance(temp_store, GroupFrame) else None)
-        spec, temp = _array(spark, source, target_chunks, max_mem, target_path, target_options, temp_path, temp_options, strict_temp)
-        return Rechunked(run, run.prepare_plan([spec]), source, temp, spec.write.array, lambda: store.open_array(spark, target_path))
+        _apart(spark, [source], target_path, temp_path)
+        spec, temp = _array(spark, source, target_chunks, max_mem, target_path, target_options, temp_path, temp_options, strict_temp, None, target_format)
+        return Rechunked(run, run.prepare_plan([spec]), source, temp, spec.write.array, lambda: _stores(target_format).open_array(spark, target_path))
 
     target_path, temp_path = _path(target_store), None if temp_store is None else _path(temp_store)
-    specs, temps = [], {}
+    specs, temps, to = [], {}, _stores(target_format)
+    _apart(spark, list(source.arrays.values()), target_path, temp_path)
     if isinstance(source, DatasetFrame):
         arrays, chunks, options, temp_options = _dataset(source, target_chunks, target_options)
-        store.create_group(spark, target_path, source.attrs | ({"coordinates": " ".join(sorted(source.coords))} if source.coords else {}))
+        to.create_group(spark, target_path, source.attrs | ({"coordinates": " ".join(sorted(source.coords))} if source.coords else {}))
     else:
         missing = [n for n in target_chunks if n not in source.arrays]
         if missing:
@@ -93,20 +99,34 @@ def rechunk(
         arrays, chunks = {n: source.arrays[n] for n in target_chunks}, target_chunks
         options, temp_options = target_options or {}, temp_options or {}
         for g in source.groups():
-            store.create_group(spark, store.child(target_path, g), source.group_attrs.get(g))
+            to.create_group(spark, store.child(target_path, g), source.group_attrs.get(g))
     if temp_path is not None:
         store.create_group(spark, temp_path)
     for name, a in arrays.items():
         at = None if temp_path is None else store.child(temp_path, name)
-        spec, temp = _array(spark, a, chunks[name], max_mem, store.child(target_path, name), options.get(name), at, temp_options.get(name), strict_temp, name)
+        spec, temp = _array(spark, a, chunks[name], max_mem, store.child(target_path, name), options.get(name), at, temp_options.get(name), strict_temp, name, target_format)
         specs.append(spec)
         if temp is not None:
             temps[name] = temp
-    reopen = (lambda: store.open_dataset(spark, target_path)) if isinstance(source, DatasetFrame) else (lambda: store.open_group(spark, target_path))
+    if target_format == "zarr":
+        to.consolidate(spark, target_path)
+    reopen = (lambda: to.open_dataset(spark, target_path)) if isinstance(source, DatasetFrame) else (lambda: to.open_group(spark, target_path))
     target = GroupFrame({s.name: s.write.array for s in specs}, path=target_path)
     return Rechunked(run, run.prepare_plan(specs), source, GroupFrame(temps, path=temp_path) if temps else None, target, reopen)
 
 
+def _stores(target_format: str):
+    return zarr if target_format == "zarr" else store
+
+
+def _apart(spark: SparkSession, sources: list[ArrayFrame], *paths: str | None) -> None:
+    """Refuse to write where a source is: it would be gone before it is read."""
+    for path in paths:
+        for a in sources:
+            if path is not None and a.path and files.same_place(spark, a.path, path):
+                raise ValueError(f"{path!r} is where the source is: choose another place")
+
+
 def _path(of) -> str:
     path = of.path if isinstance(of, (GroupFrame, ArrayFrame)) else str(of)
     if not path:
@@ -114,7 +134,7 @@ def _path(of) -> str:
     return path.rstrip("/")
 
 
-def _array(spark, source: ArrayFrame, chunks, max_mem, target_path, target_options, temp_path, temp_options, strict_temp, name=None) -> tuple[CopySpec, ArrayFrame | None]:
+def _array(spark, source: ArrayFrame, chunks, max_mem, target_path, target_options, temp_path, temp_options, strict_temp, name=None, target_format="parquet") -> tuple[CopySpec, ArrayFrame | None]:
     """Resolve one array: its wanted chunks, its plan, and the descriptions in target and temporary store."""
     store.validate_options(target_options)
     store.validate_options(temp_options)
@@ -129,7 +149,7 @@ def _array(spark, source: ArrayFrame, chunks, max_mem, target_path, target_optio
     through = chunks is None
     chunks = meta.chunks if through else tuple(int(c) for c in chunks)
     read, piece, write = rechunking_plan(meta.shape, meta.chunks, chunks, meta.itemsize, max_mem, consolidate_reads=not source.lazy)
-    made = store.create_array(spark, target_path, meta.with_(chunks=chunks), target_options)
+    made = _stores(target_format).create_array(spark, target_path, meta.with_(chunks=chunks), target_options)
     temp = None
     if not through and read != write and read != piece:
         if temp_path is not None:
@@ -149,7 +169,7 @@ def _dataset(source: DatasetFrame, target_chunks: dict, target_options: dict | N
     for name, a in source.arrays.items():
         given = dict((target_options or {}).get(name, {}))
         if "chunks" in given:
-            raise ValueError(f"Chunks must be provided in 'target_chunks' rather than options for variable {name!r} (got {given['chunks']})")
+            raise ValueError(f"Chunks must be provided in 'target_chunks', not among the options of {name!r} ({given['chunks']})")
         encoding = {k: v for k, v in source.encoding.get(name, {}).items() if k != "chunks"} | given
         attrs = encode_attributes(a.attrs)
         packing = {k: encoding[k] for k in PACKING if encoding.get(k) is not None}

@@ -60,6 +60,24 @@ class Executor(Protocol):
     def execute_plan(self, plan: Any, **kwargs) -> None: ...
 
 
+class PipelineExecutor(Protocol):
+    """What an executor of user-defined stages must have."""
+
+    def pipelines_to_plan(self, pipelines: Iterable[Pipeline]) -> Any: ...
+
+    def run_pipelines(self, plan: Any, spark: SparkSession | None = None) -> None: ...
+
+
+def write(rows: ArrayFrame, spec: CopySpec, **kwargs) -> None:
+    """The copy's rows into its target, in the target's format."""
+    if spec.write.array.format == "zarr":
+        from ..sources import zarr
+
+        zarr.write_cells(rows, spec.write.array.path, spec.options)
+    else:
+        store.write_cells(rows, spec.write.array.path, spec.options, **kwargs)
+
+
 def rows_of(spec: CopySpec) -> ArrayFrame:
     """The copy as lazy chunk rows."""
     target = spec.write.array.meta
@@ -79,7 +97,7 @@ class SparkExecutor:
     def execute_plan(self, plan: Copies, **kwargs) -> None:
         def one(item):
             spec, rows = item
-            store.write_cells(rows, spec.write.array.path, spec.options, **kwargs)
+            write(rows, spec, **kwargs)
 
         with ThreadPoolExecutor(max(1, min(self.threads, len(plan.made)))) as pool:
             list(pool.map(one, plan.made))
@@ -95,6 +113,26 @@ class SparkExecutor:
                 run_stage(spark, s, p.config)
 
 
+class TempStoreExecutor(SparkExecutor):
+    """Copies through their temporary store, where there is one: the pieces are written there, and read for the target.
+
+    Twice the bytes are written, but a copy that fails in its second half finds its pieces in the store.
+    """
+
+    def execute_plan(self, plan: Copies, **kwargs) -> None:
+        made = []
+        for spec, rows in plan.made:
+            temp = spec.intermediate.array
+            if temp is not None:
+                target = spec.write.array.meta
+                pieces = regrid(spec.read.array, temp.meta.chunks, dtype=target.dtype, fill=target.fill, order=temp.meta.order, attrs={})
+                store.write_cells(pieces, temp.path)
+                held = store.open_array(temp.df.sparkSession, temp.path)
+                rows = regrid(ArrayFrame(pieces.meta, held.df), target.chunks, spec.write.chunks, dtype=target.dtype, order=target.order, fill=target.fill, attrs=target.attrs)
+            made.append((spec, rows))
+        super().execute_plan(Copies(made), **kwargs)
+
+
 @dataclass
 class Copies:
     made: list[tuple[CopySpec, ArrayFrame]]
@@ -147,7 +185,7 @@ class LocalExecutor:
 
             rows = [(*(s.start // c for s, c in zip(key, meta.chunks, strict=True)), cells[key].ravel(order=meta.order).tolist()) for key in chunk_keys(meta.shape, meta.chunks)]
             schema = ", ".join(f"k{a} long" for a in range(meta.ndim)) + f", payload array<{meta.spark_type}>"
-            store.write_cells(ArrayFrame(meta, source.df.sparkSession.createDataFrame(rows, schema)), spec.write.array.path, spec.options, **kwargs)
+            write(ArrayFrame(meta, source.df.sparkSession.createDataFrame(rows, schema)), spec, **kwargs)
 
     def pipelines_to_plan(self, pipelines: Iterable[Pipeline]) -> list[Pipeline]:
         return list(pipelines)
@@ -162,7 +200,7 @@ class LocalExecutor:
                         s.function(key, config=p.config)
 
 
-EXECUTORS = {"spark": SparkExecutor, "local": LocalExecutor, "python": LocalExecutor}
+EXECUTORS = {"spark": SparkExecutor, "spark-temp": TempStoreExecutor, "local": LocalExecutor, "python": LocalExecutor}
 
 
 def executor(name: str) -> Executor:

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +12,7 @@ from ..functions import geometry
 from ..functions.encoding import pack, unpack
 from ..meta import ArrayMeta
 from ..operators import regrid as R
-from ..sources import frames, store
+from ..sources import files, frames, store, zarr
 from ..sources.frames import ArrayFrame, GroupFrame
 from . import planner
 
@@ -114,8 +113,9 @@ def passthrough_copy(spark, sf_dir):
 
 @query(CELLS + "SELECT i0, i1, v FROM c WHERE i0 >= 150 AND i0 < 230 AND i1 >= 5 AND i1 < 20")
 def slice_chunk(spark, sf_dir):
-    """A box of cells; other chunks are not read."""
-    return embeddings(spark, sf_dir, (50, 8)).read(slice(150, 230), slice(5, 20))
+    """A box of cells from a store; the ranges of chunk keys reach the scan."""
+    a = store.save_array(embeddings(spark, sf_dir, (50, 8)), files.scratch(spark, "slice"))
+    return a.read(slice(150, 230), slice(5, 20))
 
 
 @query(CELLS + "SELECT i0 // 50 AS k0, i1 // 8 AS k1, (i1 % 8) * least(50, (SELECT max(vec_id) + 1 FROM embeddings) - (i0 // 50) * 50) + i0 % 50 AS p, v FROM c")
@@ -141,6 +141,7 @@ def chunk_owner(spark, sf_dir):
     return owned.groupBy("k0").agg(F.count("*").alias("owned"), F.countDistinct("vec_id").alias("cells"))
 
 
+#: Lengths, chunks and other chunks of an axis.
 GRIDS = [(6, 1, 6), (10, 1, 6), (6, 2, 3), (24, 2, 3), (10, 4, 5), (100, 4, 5), (100, 43, 100), (100, 43, 51), (100, 43, 40), (100, 43, 10), (100, 43, 1), (20, 5, 7), (2000, 50, 500)]
 
 
@@ -150,11 +151,21 @@ def io_ops(spark, sf_dir):
     return spark.createDataFrame([(n, s, t, planner.count_intermediate_chunks(s, t, n)) for n, s, t in GRIDS], "n int, s int, t int, ops long")
 
 
-@query("SELECT a AS r, b AS w, least(a, b) AS shared FROM (VALUES (20, 4), (5, 25), (7, 7), (1, 64)) g(a, b)")
+@query("SELECT * FROM (VALUES (0, 20, 4, 4), (1, 5, 25, 5), (2, 7, 7, 7), (3, 1, 64, 1)) t(axis, r, w, shared)")
 def shared_chunks(spark, sf_dir):
-    """What fits into both grids."""
-    d = spark.createDataFrame([([20, 5, 7, 1], [4, 25, 7, 64])], "r array<int>, w array<int>")
-    return d.select(F.explode(F.arrays_zip("r", "w", F.zip_with("r", "w", lambda a, b: F.least(a, b)).alias("shared"))).alias("x")).select("x.r", "x.w", "x.shared")
+    """What fits into both grids, as the planner says."""
+    r, w = (20, 5, 7, 1), (4, 25, 7, 64)
+    return spark.createDataFrame([(k, *x) for k, x in enumerate(zip(r, w, planner.shared_chunks(r, w), strict=True))], "axis int, r int, w int, shared int")
+
+
+#: Grids (shape, chunks, other chunks) of two axes.
+PLANES = [((10, 12), (4, 3), (5, 12)), ((100, 7), (43, 7), (10, 2)), ((6, 6), (6, 6), (6, 6)), ((50, 64), (7, 64), (50, 9))]
+
+
+@query("SELECT id, CAST((SELECT count(DISTINCT (i // s0, i // t0)) FROM range(n0) r(i)) * (SELECT count(DISTINCT (j // s1, j // t1)) FROM range(n1) q(j)) AS BIGINT) AS ops FROM (VALUES " + ", ".join(f"({k}, {', '.join(str(x) for axis in zip(*g) for x in axis)})" for k, g in enumerate(PLANES)) + ") g(id, n0, s0, t0, n1, s1, t1)")
+def plane_io_ops(spark, sf_dir):
+    """Pieces that two grids cut a plane into: the product over its axes."""
+    return spark.createDataFrame([(k, planner.calculate_single_stage_io_ops(*g)) for k, g in enumerate(PLANES)], "id int, ops long")
 
 
 @query("SELECT * FROM (VALUES ('8', 1, 2), ('16', 1, 4), ('17', 1, 4), ('64', 2, 8), ('256', 8, 8), ('512', 8, 8)) t(mem, c0, c1)")
@@ -203,10 +214,11 @@ def group_rechunk(spark, sf_dir):
     v, e = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "events")
     n, m = v.agg(F.max("vec_id")).first()[0] + 1, e.agg(F.max("event_id")).first()[0] + 1
     g = GroupFrame({"label": frames.from_column(v, "vec_id", "label", ArrayMeta((n,), (50,), "i4")), "events/value": frames.from_column(e, "event_id", "value", ArrayMeta((m,), (1000,), "f8"))})
-    wanted = {"label": (64,), "events/value": (700,)}
+    at = files.scratch(spark, "group")
+    t = rechunk(g, {"label": (64,), "events/value": (700,)}, "8KB", f"{at}/target", temp_store=f"{at}/temp").execute()
     out = None
-    for name, chunks in wanted.items():
-        s = summary(R.regrid(g[name], chunks)).select(F.lit(name).alias("array"), "k0", "cells", F.col("vmin").cast("double").alias("vmin"), F.col("vmax").cast("double").alias("vmax"))
+    for name, a in t.arrays.items():
+        s = summary(a).select(F.lit(name).alias("array"), "k0", "cells", F.col("vmin").cast("double").alias("vmin"), F.col("vmax").cast("double").alias("vmax"))
         out = s if out is None else out.unionByName(s)
     return out
 
@@ -221,14 +233,16 @@ def rows_of_lineitem(spark, sf_dir) -> DataFrame:
 
 @query(ROWS + " UNION ALL ".join(f"SELECT '{m}' AS variable, i // 2500 AS k0, count(*) AS cells, min({m}) AS vmin, max({m}) AS vmax, first({m} ORDER BY i) AS vfirst, last({m} ORDER BY i) AS vlast FROM r GROUP BY 2" for m in MEASURES))
 def dataset_rechunk(spark, sf_dir):
-    """A wide table as a dataset; all its variables on a new grid. The rows are numbered once, in a table of which each variable reads its own column."""
-    t, at = rows_of_lineitem(spark, sf_dir).select("row", *MEASURES), _folder(spark)
-    t.write.parquet(at)
-    t = spark.read.schema(t.schema).parquet(at)
+    """A wide table as a dataset; all its variables on a new grid, by its one dimension. Its rows are numbered once, in a staged table of
+    which each variable reads its own column."""
+    t, at = rows_of_lineitem(spark, sf_dir).select("row", *MEASURES), files.scratch(spark, "dataset")
+    t.write.parquet(f"{at}/rows")
+    t = spark.read.schema(t.schema).parquet(f"{at}/rows")
     d = frames.from_table(t, "row", dict.fromkeys(MEASURES, "f8"), t.count(), 1000)
+    made = rechunk(d, {"row": 2500}, "1MB", f"{at}/target", strict_temp=False).execute()
     out = None
-    for name, a in d.arrays.items():
-        s = summary(R.regrid(a, (2500,))).select(F.lit(name).alias("variable"), "k0", "cells", "vmin", "vmax", "vfirst", "vlast")
+    for name, a in made.arrays.items():
+        s = summary(a).select(F.lit(name).alias("variable"), "k0", "cells", "vmin", "vmax", "vfirst", "vlast")
         out = s if out is None else out.unionByName(s)
     return out
 
@@ -269,14 +283,39 @@ def generated_cells(spark, sf_dir):
     return R.regrid(frames.generate(spark, ArrayMeta((40, 33), (7, 10), "f8")), (11, 4)).cells()
 
 
-def _folder(spark: SparkSession) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{(shared or 'file://' + tempfile.mkdtemp()).rstrip('/')}/store-{uuid.uuid4().hex}"
-
-
 @query(CELLS + ALL)
 def rechunk_store(spark, sf_dir):
     """The whole way: an array in a store, planned, copied to another store, and read from there."""
-    at = _folder(spark)
+    at = files.scratch(spark, "store")
     a = store.save_array(embeddings(spark, sf_dir), f"{at}/source")
     return rechunk(a, (min(500, a.meta.shape[0]), 8), "64KB", f"{at}/target", temp_store=f"{at}/temp").execute().cells()
+
+
+@query(CELLS + ALL)
+def zarr_rechunk(spark, sf_dir):
+    """From Zarr files (Blosc) to Zarr files (zstd) on another grid, through the temporary store, and read from there."""
+    at = files.scratch(spark, "zarr")
+    zarr.write_array(embeddings(spark, sf_dir), f"{at}/source", compressor={"id": "blosc", "cname": "lz4", "clevel": 5, "shuffle": 1})
+    a = zarr.open_array(spark, f"{at}/source")
+    plan = rechunk(a, (min(500, a.meta.shape[0]), 8), "64KB", f"{at}/target", {"compressor": {"id": "zstd", "level": 3}}, f"{at}/temp", {}, executor="spark-temp", target_format="zarr")
+    return plan.execute().cells()
+
+
+@query("SELECT * FROM (VALUES ('', 'title', '\"root\"'), ('deep', 'n', '3'), ('deep/a', '_ARRAY_DIMENSIONS', '[\"x\"]'), ('deep/a', 'unit', '\"m\"')) t(node, attribute, value)")
+def group_attributes(spark, sf_dir):
+    """Attributes of groups and arrays come along."""
+    at = files.scratch(spark, "attributes")
+    a = frames.generate(spark, ArrayMeta((6,), (2,), "f8", attrs={"_ARRAY_DIMENSIONS": ["x"], "unit": "m"}))
+    rechunk(GroupFrame({"deep/a": a}, {"": {"title": "root"}, "deep": {"n": 3}}), {"deep/a": (3,)}, 100, f"{at}/target", strict_temp=False).execute()
+    g = store.open_group(spark, f"{at}/target")
+    found = {**g.group_attrs, **{n: a.attrs for n, a in g.arrays.items()}}
+    return spark.createDataFrame([(n, k, json.dumps(v)) for n, attrs in found.items() for k, v in attrs.items()], "node string, attribute string, value string")
+
+
+@query(CELLS + "SELECT i0, i1, v FROM c WHERE i0 < 20")
+def overwrite_target(spark, sf_dir):
+    """A target that holds another array is replaced if that is asked for; chunks are given by dimension."""
+    at = files.scratch(spark, "overwrite")
+    rechunk(frames.generate(spark, ArrayMeta((9, 9), (3, 9), "f4")), (3, 3), 4000, f"{at}/target").execute()
+    few = frames.from_lists(table(spark, sf_dir, "embeddings").where("vec_id < 20"), "vec_id", "embedding", ArrayMeta((20, DIMS), (20, DIMS), "f4", attrs={"_ARRAY_DIMENSIONS": ["row", "part"]}))
+    return rechunk(few, {"row": 10, "part": 16}, "64KB", f"{at}/target", {"overwrite": True}, strict_temp=False).execute().cells()

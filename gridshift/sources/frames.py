@@ -45,6 +45,8 @@ class ArrayFrame:
     #: Not yet in a store: chunks are computed when they are read, so reads are not consolidated.
     lazy: bool = False
     name: str | None = None
+    #: What the files at ``path`` are: "parquet" (chunk rows) or "zarr".
+    format: str = "parquet"
 
     @property
     def keys(self) -> list[str]:
@@ -113,7 +115,8 @@ class ArrayFrame:
 
 
 def from_cells(cells: DataFrame, meta: ArrayMeta) -> ArrayFrame:
-    """Chunk rows from rows ``i0 .., v``: one exchange on the chunk's key. Cells that are missing get the fill value."""
+    """Chunk rows from rows ``i0 .., v``: one exchange on the chunk's key. Cells that are missing get the fill value; a
+    cell that is there twice is an error when the rows are read."""
     keys = [_div(F.col(f"i{a}"), meta.chunks[a]).alias(f"k{a}") for a in range(meta.ndim)]
     d = cells.select(*keys, *(F.col(f"i{a}") for a in range(meta.ndim)), "v")
     names = [f"k{a}" for a in range(meta.ndim)]
@@ -122,10 +125,14 @@ def from_cells(cells: DataFrame, meta: ArrayMeta) -> ArrayFrame:
     whole = F.lit(1).cast("long")
     for a, n in enumerate(names):
         whole = whole * width(meta, a, F.col(n))
+    places = F.transform("_c", lambda c: c["p"])
+    all_there = (F.size("_c") == whole) & (places == F.sequence(F.lit(0), whole.cast("int") - 1))
     full = F.transform("_c", lambda c: c["v"])
+    repeated = F.size(F.array_distinct(places)) < F.size("_c")
+    refused = F.raise_error(F.lit("a cell of the array occurs more than once")).cast(f"array<{meta.spark_type}>")
     known = F.map_from_entries("_c")
     filled = F.transform(F.sequence(F.lit(0), whole.cast("int") - 1), lambda p: F.coalesce(known[p], F.lit(meta.fill).cast(meta.spark_type)))
-    return ArrayFrame(meta, d.select(*names, F.when(F.size("_c") == whole, full).otherwise(filled).alias("payload")), lazy=True)
+    return ArrayFrame(meta, d.select(*names, F.when(all_there, full).when(repeated, refused).otherwise(filled).alias("payload")), lazy=True)
 
 
 def from_lists(df: DataFrame, index: str, column: str, meta: ArrayMeta) -> ArrayFrame:

@@ -21,7 +21,7 @@ OPTIONS = ["compressor", "filters", "order", "cache_metadata", "cache_attrs", "o
 def validate_options(options: dict | None) -> None:
     for o in options or {}:
         if o not in OPTIONS:
-            raise ValueError(f"Zarr options must not include {o} (got {o}={options[o]}). Only the following options are supported: {OPTIONS}.")
+            raise ValueError(f"Zarr options must not include {o} (it was given as {options[o]!r}); there are: {', '.join(OPTIONS)}")
 
 
 def child(path: str, name: str | None) -> str:
@@ -55,6 +55,8 @@ def open_array(spark: SparkSession, path: str) -> ArrayFrame:
 def write_cells(array: ArrayFrame, path: str, options: dict | None = None, **writer) -> None:
     """Chunk rows as Parquet; a run again replaces them (the commit protocol makes retried tasks harmless)."""
     options = options or {}
+    if options.get("filters"):
+        raise ValueError("cells in Parquet have no filters; Zarr targets do")
     if options.get("write_empty_chunks") is False:
         array = drop_empty(array)
     codec = options.get("compressor", "snappy")
@@ -107,9 +109,12 @@ def save_group(group: GroupFrame, path: str, options: dict | None = None, spark:
 
 def open_dataset(spark: SparkSession, path: str, decode: bool = True) -> DatasetFrame:
     """A group of named-dimension arrays as a dataset, its packed variables unpacked."""
+    return as_dataset(open_group(spark, path), decode)
+
+
+def as_dataset(g: GroupFrame, decode: bool = True) -> DatasetFrame:
     from ..functions.encoding import unpack_all
 
-    g = open_group(spark, path)
     coords = tuple(str(g.attrs.get("coordinates", "")).split())
     arrays = {}
     for name, a in g.arrays.items():
@@ -118,4 +123,4 @@ def open_dataset(spark: SparkSession, path: str, decode: bool = True) -> Dataset
             meta = a.meta.with_(dtype="f8", fill=float("nan") if "_FillValue" in packed else a.meta.fill, attrs={k: v for k, v in a.attrs.items() if k not in packed})
             a = ArrayFrame(meta, a.df.withColumn("payload", unpack_all("payload", packed)), path=a.path, lazy=True)
         arrays[name] = a
-    return DatasetFrame(arrays, {k: {n: v for n, v in attrs.items() if n != "coordinates"} for k, attrs in g.group_attrs.items()}, path, coords)
+    return DatasetFrame(arrays, {k: {n: v for n, v in attrs.items() if n != "coordinates"} for k, attrs in g.group_attrs.items()}, g.path, coords)

@@ -87,7 +87,7 @@ def test_errors(spark, at):
     for o in ("shape", "chunks", "dtype", "store", "name", "unknown"):
         with pytest.raises(ValueError, match="Zarr options must not include"):
             rechunk(a, (10, 30), 4800, f"{at}/3", {o: 1})
-    with pytest.raises(ValueError, match="Source must be a Zarr Array"):
+    with pytest.raises(ValueError, match="Source must be"):
         rechunk([1], (1,), 10, f"{at}/4")
     with pytest.raises(ValueError, match="as a dict"):
         rechunk(g, (40, 5), 4800, f"{at}/5")
@@ -200,3 +200,129 @@ def test_streamed_cells(spark, tmp_path):
     meta = ArrayMeta((10,), (4,), "f8")
     append_cells(spark.readStream.schema("i0 long, v double").parquet(f"{tmp_path}/in"), f"{tmp_path}/out", meta, f"{tmp_path}/cp").awaitTermination()
     assert read_appended(spark, f"{tmp_path}/out", meta).to_numpy().tolist() == list(range(10))
+
+
+@pytest.mark.parametrize("dtype", ["u1", "u2", "u4", "i1", "f2", "b1", ">i4", "f8"])
+def test_zarr_types(spark, at, dtype):
+    want = (numbers((5, 4)) % 2 if dtype == "b1" else numbers((5, 4)) * (12 if dtype in ("u1", "f2") else 1)).astype(np.dtype(dtype))
+    cells = spark.createDataFrame([(i, j, float(want[i, j])) for i in range(5) for j in range(4)], "i0 long, i1 long, v double")
+    meta = ArrayMeta((5, 4), (2, 3), dtype)
+    zarr.write_array(frames.from_cells(cells, meta), f"{at}/z", compressor="zstd")
+    back = zarr.open_array(spark, f"{at}/z")
+    assert back.meta.dtype == np.dtype(dtype).str and (back.to_numpy() == want).all()
+    assert (R.regrid(back, (5, 1)).to_numpy() == want).all()
+
+
+@pytest.mark.parametrize("compressor", [{"id": "blosc", "cname": c, "shuffle": s} for c in ("lz4", "zstd", "snappy") for s in (0, 1)] + [{"id": "gzip", "level": 2}, {"id": "bz2"}])
+def test_zarr_compressors(spark, at, compressor):
+    a = coded(spark, (60, 50), (30, 20), "f4")
+    zarr.write_array(a, f"{at}/z", compressor=compressor)
+    assert (zarr.open_array(spark, f"{at}/z").to_numpy() == numbers((60, 50), "f4")).all()
+
+
+def test_blosc_containers_of_other_writers():
+    """Several blocks, a stream for each byte of an item, a last block that is cut off, streams that are stored plainly."""
+    import struct
+
+    import pyarrow as pa
+
+    raw = numbers((2500,), "f4").tobytes()
+    size, block, lz4 = 4, 4096, pa.Codec("lz4_raw")
+    blocks = [raw[k : k + block] for k in range(0, len(raw), block)]
+    bodies = []
+    for b in blocks:
+        turned = np.frombuffer(b, np.uint8).reshape(-1, size).T.tobytes()
+        streams = size if len(b) == block else 1
+        parts = [turned[k * len(b) // streams : (k + 1) * len(b) // streams] for k in range(streams)]
+        packed = [lz4.compress(p).to_pybytes() for p in parts]
+        bodies.append(b"".join(struct.pack("<i", min(len(p), len(q))) + (q if len(q) < len(p) else p) for p, q in zip(parts, packed, strict=True)))
+    starts = np.cumsum([zarr.HEADER + 4 * len(blocks), *map(len, bodies)])
+    head = struct.pack("<BBBBIII", 2, 1, (1 << 5) | zarr.SHUFFLED, size, len(raw), block, int(starts[-1]))
+    assert zarr.unblosc(head + struct.pack(f"<{len(blocks)}I", *starts[:-1].tolist()) + b"".join(bodies)) == raw
+    noise = np.random.default_rng(0).bytes(999)
+    assert zarr.unblosc(zarr.blosc(noise, 1)) == noise and zarr.unblosc(zarr.blosc(b"", 4)) == b""
+
+
+def test_zarr_filters(spark, at):
+    a = coded(spark, (40,), (15,), "i4")
+    zarr.write_array(a, f"{at}/delta", filters=[{"id": "delta", "dtype": "<i4", "astype": "<i2"}])
+    assert (zarr.open_array(spark, f"{at}/delta").to_numpy() == numbers((40,), "i4")).all()
+    b = coded(spark, (40,), (15,), "f8")
+    zarr.write_array(b, f"{at}/scaled", filters=[{"id": "fixedscaleoffset", "scale": 10, "offset": 5, "dtype": "<f8", "astype": "<i4"}])
+    assert (zarr.open_array(spark, f"{at}/scaled").to_numpy() == numbers((40,), "f8")).all()
+    with pytest.raises(ValueError, match="filter 'unknown'"):
+        zarr.write_array(a, f"{at}/x", filters=[{"id": "unknown"}])
+
+
+@pytest.mark.parametrize("name", ["spark", "spark-temp", "local"])
+def test_zarr_targets(spark, at, name):
+    g = GroupFrame({"a": coded(spark, (12, 10), (3, 10), "f4", attrs={"u": "m"}), "deep/b": coded(spark, (20,), (10,), "i2")}, {"": {"t": 1}, "deep": {"n": [1, 2]}})
+    r = rechunk(g, {"a": (12, 2), "deep/b": (7,)}, 240, f"{at}/t", {"a": {"compressor": {"id": "blosc"}}}, f"{at}/tmp", {}, executor=name, target_format="zarr")
+    t = r.execute()
+    assert (t["a"].to_numpy() == numbers((12, 10), "f4")).all() and t["a"].meta.chunks == (12, 2) and t["a"].attrs == {"u": "m"}
+    assert (t["deep/b"].to_numpy() == numbers((20,), "i2")).all() and t.group_attrs == {"": {"t": 1}, "deep": {"n": [1, 2]}}
+    from gridshift.sources import files
+
+    assert "deep/b/.zarray" in files.read_text(spark, f"{at}/t/.zmetadata")
+    if name == "spark-temp":
+        held = store.open_array(spark, f"{at}/tmp/a")
+        assert (held.to_numpy() == numbers((12, 10), "f4")).all()  # the pieces are there
+    with pytest.raises(ValueError, match="contains an array"):
+        rechunk(g["a"], (12, 2), 240, f"{at}/t/a", strict_temp=False, target_format="zarr")
+    with pytest.raises(ValueError, match="target_format"):
+        rechunk(g["a"], (12, 2), 240, f"{at}/u", strict_temp=False, target_format="hdf5")
+
+
+def test_dataset_to_zarr(spark, at):
+    d = DatasetFrame({"v": coded(spark, (6, 4), (2, 4), attrs={DIMENSION_KEY: ["x", "y"]}), "x": coded(spark, (6,), (3,), attrs={DIMENSION_KEY: ["x"]})}, coords=("x",))
+    t = rechunk(d, {"x": 6, "y": 2}, 1000, f"{at}/t", {"v": {"dtype": "i2", "scale_factor": 0.5}}, strict_temp=False, target_format="zarr").execute()
+    assert zarr.open_array(spark, f"{at}/t/v").meta.dtype == "<i2" and np.allclose(t["v"].to_numpy(), numbers((6, 4))) and t.coords == ("x",)
+
+
+@pytest.mark.parametrize("where", ["s", "s/deeper", ""])
+def test_no_target_where_the_source_is(spark, at, where):
+    a = store.save_array(coded(spark, (8, 8), (8, 2)), f"{at}/s")
+    with pytest.raises(ValueError, match="where the source is"):
+        rechunk(a, (2, 8), 1000, f"{at}/{where}".rstrip("/"), {"overwrite": True}, strict_temp=False)
+    with pytest.raises(ValueError, match="where the source is"):
+        rechunk(a, (2, 8), 1000, f"{at}/t", temp_store=f"{at}/s")
+    assert (store.open_array(spark, f"{at}/s").to_numpy() == numbers((8, 8))).all()
+
+
+def test_repeated_cells_are_refused(spark):
+    for places in ([0, 0, 1, 3], [0, 1, 2, 3, 3], [1, 1]):
+        a = frames.from_cells(spark.createDataFrame([(i, 10.0 + k) for k, i in enumerate(places)], "i0 long, v double"), ArrayMeta((4,), (4,), "f8"))
+        with pytest.raises(Exception, match="more than once"):
+            a.df.collect()
+
+
+def test_plans_and_executors_of_ones_own(spark, at):
+    """``plan`` is lazy chunk rows; an executor object of the caller's is used as it is."""
+    a = coded(spark, (6, 6), (6, 1))
+    r = rechunk(a, (1, 6), 1000, f"{at}/t", strict_temp=False)
+    assert r.plan.count() == 6 and set(r.plan.columns) == {"k0", "k1", "payload"}
+    seen = []
+
+    class Own(SparkExecutor):
+        def prepare_plan(self, specs):
+            seen.append([s.write.chunks for s in specs])
+            return super().prepare_plan(specs)
+
+        def execute_plan(self, plan, **kwargs):
+            seen.append(sorted(kwargs))
+            super().execute_plan(plan, **kwargs)
+
+    t = rechunk(a, (1, 6), 1000, f"{at}/own", strict_temp=False, executor=Own()).execute(maxRecordsPerFile=2)
+    assert len(seen) == 2 and seen[1] == ["maxRecordsPerFile"] and (t.to_numpy() == numbers((6, 6))).all()
+
+
+def test_scratch_needs_a_shared_folder(spark, monkeypatch):
+    from gridshift.sources import files
+
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        files.scratch(Cluster, "x")
+    assert files.scratch(spark, "x") != files.scratch(spark, "x")
