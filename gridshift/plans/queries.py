@@ -233,12 +233,10 @@ def rows_of_lineitem(spark, sf_dir) -> DataFrame:
 
 @query(ROWS + " UNION ALL ".join(f"SELECT '{m}' AS variable, i // 2500 AS k0, count(*) AS cells, min({m}) AS vmin, max({m}) AS vmax, first({m} ORDER BY i) AS vfirst, last({m} ORDER BY i) AS vlast FROM r GROUP BY 2" for m in MEASURES))
 def dataset_rechunk(spark, sf_dir):
-    """A wide table as a dataset; all its variables on a new grid, by its one dimension. Its rows are numbered once, in a staged table of
-    which each variable reads its own column."""
-    t, at = rows_of_lineitem(spark, sf_dir).select("row", *MEASURES), files.scratch(spark, "dataset")
-    t.write.parquet(f"{at}/rows")
-    t = spark.read.schema(t.schema).parquet(f"{at}/rows")
-    d = frames.from_table(t, "row", dict.fromkeys(MEASURES, "f8"), t.count(), 1000)
+    """A wide table as a dataset; all its variables on a new grid, by its one dimension. Rows are numbered and packed into chunks
+    once; each variable reads its own column of the staged chunks."""
+    at, n = files.scratch(spark, "dataset"), table(spark, sf_dir, "lineitem").count()
+    d = frames.from_table(rows_of_lineitem(spark, sf_dir).select("row", *MEASURES), "row", dict.fromkeys(MEASURES, "f8"), n, 1000, staged=f"{at}/chunks")
     made = rechunk(d, {"row": 2500}, "1MB", f"{at}/target", strict_temp=False).execute()
     out = None
     for name, a in made.arrays.items():

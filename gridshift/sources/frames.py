@@ -135,10 +135,76 @@ def from_cells(cells: DataFrame, meta: ArrayMeta) -> ArrayFrame:
     return ArrayFrame(meta, d.select(*names, F.when(all_there, full).when(repeated, refused).otherwise(filled).alias("payload")), lazy=True)
 
 
+def _fields(meta: ArrayMeta, names: Mapping[str, str]):
+    from pyspark.sql import types as T
+
+    cell = {"float": T.FloatType(), "double": T.DoubleType(), "tinyint": T.ByteType(), "smallint": T.ShortType(), "int": T.IntegerType(), "bigint": T.LongType(), "boolean": T.BooleanType()}
+    return T.StructType([*(T.StructField(f"k{a}", T.LongType()) for a in range(meta.ndim)), *(T.StructField(n, T.ArrayType(cell[t])) for n, t in names.items())])
+
+
+def _positions(index: np.ndarray, start: int) -> np.ndarray:
+    """Where rows lie in a chunk that begins at ``start``; each row once."""
+    at = index - start
+    if len(np.unique(at)) != len(at):
+        raise ValueError("a cell of the array occurs more than once")
+    return at
+
+
 def from_lists(df: DataFrame, index: str, column: str, meta: ArrayMeta) -> ArrayFrame:
-    """A two-dimensional array whose rows are the lists of a table's column, by a dense 0-based index."""
-    cells = df.select(F.col(index).cast("long").alias("i0"), F.posexplode(column).alias("_p", "v")).select("i0", F.col("_p").cast("long").alias("i1"), "v")
-    return from_cells(cells, meta)
+    """A two-dimensional array whose rows are the lists of a table's column, by a dense 0-based index.
+
+    One exchange of whole rows, on the chunk of the index; each range of rows is cut into its chunks as one block. Rows and
+    values that are missing or null get the fill value; a row that is there twice is an error.
+    """
+    d = df.select(_div(F.col(index).cast("long"), meta.chunks[0]).alias("k0"), F.col(index).cast("long").alias("i0"), F.col(column).cast(f"array<{meta.spark_type}>").alias("v"))
+    (n, m), (c, w) = meta.shape, meta.chunks
+
+    def cut(table):
+        import pyarrow as pa
+
+        k0, lists = table.column("k0")[0].as_py(), table.column("v").combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        at = _positions(table.column("i0").to_numpy(), k0 * c)
+        block = np.full((min(c, n - k0 * c), m), meta.fill, lists.type.value_type.to_pandas_dtype())
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        flat, held = lists.flatten(), np.ones(int(sizes.sum()), bool)
+        if flat.null_count:
+            held = flat.is_valid().to_numpy(zero_copy_only=False)
+            flat = flat.fill_null(pa.scalar(0, flat.type) if flat.type != pa.bool_() else False)
+        row, place_ = np.repeat(at, sizes), np.arange(len(held)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        held &= place_ < m
+        block[row[held], place_[held]] = flat.to_numpy(zero_copy_only=False)[held]
+        parts = [block[:, k * w : (k + 1) * w].ravel(order=meta.order) for k in range(meta.grid[1])]
+        ends = np.cumsum([0, *map(len, parts)]).astype("i4")
+        payload = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts), lists.type.value_type))
+        return pa.table([pa.array(np.full(len(parts), k0)), pa.array(np.arange(len(parts))), payload], names=["k0", "k1", "payload"])
+
+    return ArrayFrame(meta, d.groupBy("k0").applyInArrow(cut, _fields(meta, {"payload": meta.spark_type})), lazy=True)
+
+
+def chunk_columns(df: DataFrame, index: str, metas: Mapping[str, ArrayMeta]) -> DataFrame:
+    """Rows ``k0`` and, a column for each variable, its payload: all variables of a table in one exchange.
+
+    The variables have one dimension, length and chunk. Rows that are missing and nulls get the fill value.
+    """
+    one = next(iter(metas.values()))
+    (n,), (c,) = one.shape, one.chunks
+    d = df.select(_div(F.col(index).cast("long"), c).alias("k0"), F.col(index).cast("long").alias("__i"), *(F.col(v).cast(m.spark_type).alias(v) for v, m in metas.items()))
+
+    def pack(table):
+        import pyarrow as pa
+
+        k0 = table.column("k0")[0].as_py()
+        at, size, out = _positions(table.column("__i").to_numpy(), k0 * c), min(c, n - k0 * c), [pa.array([k0])]
+        for v, m in metas.items():
+            column = table.column(v)
+            cells = np.full(size, m.fill, column.type.to_pandas_dtype())
+            valid = column.is_valid().to_numpy()
+            cells[at[valid]] = column.drop_null().to_numpy()
+            out.append(pa.ListArray.from_arrays(pa.array([0, size], pa.int32()), pa.array(cells, column.type)))
+        return pa.table(out, names=["k0", *metas])
+
+    return d.groupBy("k0").applyInArrow(pack, _fields(one, {v: m.spark_type for v, m in metas.items()}))
 
 
 def from_column(df: DataFrame, index: str, column: str, meta: ArrayMeta) -> ArrayFrame:
@@ -212,12 +278,20 @@ class DatasetFrame(GroupFrame):
         return f"<DatasetFrame {self.path or 'lazy'} variables={sorted(set(self.arrays) - set(self.coords))} coords={sorted(self.coords)}>"
 
 
-def from_table(df: DataFrame, index: str, columns: Mapping[str, str], length: int, chunk: int, dim: str = "row", attrs: dict | None = None) -> DatasetFrame:
-    """A wide table as a dataset: one one-dimensional variable a column (name to NumPy type), over one dimension."""
+def from_table(df: DataFrame, index: str, columns: Mapping[str, str], length: int, chunk: int, dim: str = "row", attrs: dict | None = None, staged: str | None = None) -> DatasetFrame:
+    """A wide table as a dataset: one one-dimensional variable a column (name to NumPy type), over one dimension.
+
+    The chunks of all variables are made in one exchange. ``staged``: a path for them; each variable then reads
+    its own column from there, instead of making the chunks again.
+    """
     from ..meta import DIMENSION_KEY
 
-    arrays = {c: from_column(df, index, c, ArrayMeta((length,), (chunk,), t, attrs={DIMENSION_KEY: [dim]})) for c, t in columns.items()}
-    return DatasetFrame(arrays, {"": attrs or {}})
+    metas = {c: ArrayMeta((length,), (chunk,), t, attrs={DIMENSION_KEY: [dim]}) for c, t in columns.items()}
+    rows = chunk_columns(df, index, metas)
+    if staged:
+        rows.write.parquet(staged)
+        rows = df.sparkSession.read.schema(rows.schema).parquet(staged)
+    return DatasetFrame({c: ArrayFrame(m, rows.select("k0", F.col(c).alias("payload")), lazy=True) for c, m in metas.items()}, {"": attrs or {}})
 
 
 def with_row_index(df: DataFrame, lead: str, order: list[str], span: int = 4096, out: str = "row") -> DataFrame:

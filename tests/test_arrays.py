@@ -326,3 +326,18 @@ def test_scratch_needs_a_shared_folder(spark, monkeypatch):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         files.scratch(Cluster, "x")
     assert files.scratch(spark, "x") != files.scratch(spark, "x")
+
+
+def test_tables_with_gaps(spark):
+    """Missing rows, null values and short lists hold the fill value; repeated rows are refused."""
+    lists = spark.createDataFrame([(0, [1.0, 2.0, 3.0]), (2, [4.0, None]), (3, None), (6, [5.0, 6.0, 7.0])], "id long, v array<double>")
+    a = frames.from_lists(lists, "id", "v", ArrayMeta((7, 3), (2, 2), "f4", -1.0))
+    want = np.full((7, 3), -1.0)
+    want[0], want[2, 0], want[6] = [1, 2, 3], 4, [5, 6, 7]
+    assert (a.to_numpy() == want).all() and (frames.from_lists(lists, "id", "v", ArrayMeta((7, 3), (4, 3), "f4", -1.0, "F")).to_numpy() == want).all()
+    rows = spark.createDataFrame([(4, 1.5, 2), (0, None, 3), (1, 2.5, None)], "row long, x double, y int")
+    d = frames.from_table(rows, "row", {"x": "f8", "y": "i4"}, 5, 2)
+    assert d["x"].to_numpy().tolist() == [0, 2.5, 0, 0, 1.5] and d["y"].to_numpy().tolist() == [3, 0, 0, 0, 2]
+    for make in (lambda: frames.from_lists(lists.union(lists), "id", "v", a.meta), lambda: frames.from_table(rows.union(rows), "row", {"x": "f8"}, 5, 2)["x"]):
+        with pytest.raises(Exception, match="more than once"):
+            make().df.collect()
