@@ -24,6 +24,8 @@ BANDS, PER_BAND = 30, 5
 REACH = 23
 #: Fingerprints in a shard tree, and words in a block of a group: what one unit of work holds (two blocks).
 SHARD, BLOCK_WORDS = 1024, 1 << 20
+#: Texts of a unit that are compared before it is known which of them has the most copies.
+TRIED = 16
 _MINS = BANDS * PER_BAND
 _BASE = 0xD6E8FEB86659FD93
 _POWERS: list[np.ndarray] = [np.ones(1, "u8"), np.ones(1, "u8")]
@@ -101,7 +103,8 @@ def similar_links(sets: list[np.ndarray], asks: np.ndarray, similar: float) -> l
 
     If ``asks`` has both values, only pairs of one that asks and one that doesn't are looked at. A
     text that has too large a share of its shingles for itself alone is like no other; for all others the shared shingles with every
-    other text are counted at once.
+    other text are counted at once. Texts already linked with the one that had the most copies among the first TRIED need no
+    turn of their own: whatever is not linked with it has one, and looks at them.
     """
     sizes = np.array([len(s) for s in sets], "i8")
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -119,19 +122,27 @@ def similar_links(sets: list[np.ndarray], asks: np.ndarray, similar: float) -> l
     at, count = at[by_text], count[by_text]
     ends = np.cumsum(held)
     two, both, out = asks.any() and not asks.all(), Forest(), []
-    for k in np.flatnonzero(held >= similar * sizes):
-        if two and not asks[k]:
+    turns = np.flatnonzero((held > 0) & (held >= similar * sizes))
+    if two:
+        turns = np.concatenate([turns[asks[turns]], turns[~asks[turns]]])
+    most, hub, passed = -1, -1, False
+    for turn, k in enumerate(turns.tolist()):
+        if two and not asks[k] and not passed:
+            break  # every text that asks had its turn
+        if turn >= TRIED and both.root(k) == both.root(hub):
+            passed = True
             continue
         a, n = at[ends[k] - held[k] : ends[k]], count[ends[k] - held[k] : ends[k]]
-        if not len(a):
-            continue
         before = np.cumsum(n) - n
         shared = np.bincount(owner[np.repeat(a - before, n) + np.arange(int(n.sum()))], minlength=len(sets))
         like = shared >= similar * (sizes + sizes[k] - shared)
         like[k] = False
         if two:
-            like &= ~asks
-        out += [(int(k), int(j)) for j in np.flatnonzero(like) if both.join(int(k), int(j))]
+            like &= asks != asks[k]
+        found = np.flatnonzero(like).tolist()
+        if turn < TRIED and len(found) > most:
+            most, hub = len(found), k
+        out += [(k, j) for j in found if both.join(k, j)]
     return out
 
 

@@ -240,6 +240,56 @@ def test_copies_below_the_similarity_make_no_pairs(spark, copies, monkeypatch):
     assert max(counted) <= 4 * copies
 
 
+def families(rng, groups, size, words):
+    """Sets of numbers: groups of edited copies of one set, edited ones being more or less alike, and some of nothing."""
+    sets = []
+    for g in range(groups):
+        base = rng.integers(0, 10**6, words).astype("u8") * np.uint64(97)
+        for _ in range(size):
+            new = rng.random(words) < rng.choice([0.0, 0.02, 0.08, 0.15])
+            sets.append(np.unique(np.where(new, rng.integers(0, 10**9, words).astype("u8"), base)))
+    return [*sets, np.zeros(0, "u8")]
+
+
+@pytest.mark.parametrize("seed", range(12))
+@pytest.mark.parametrize("sides", [False, True])
+def test_links_connect_what_all_pairs_do(seed, sides):
+    """The forest of a unit of work against all of its pairs, with one block of texts and with two."""
+    rng = np.random.default_rng(seed)
+    sets = families(rng, int(rng.integers(1, 6)), int(rng.integers(1, 60)), int(rng.integers(4, 40)))
+    sets = [sets[k] for k in rng.permutation(len(sets))]
+    asks = rng.random(len(sets)) < 0.5 if sides else np.zeros(len(sets), bool)
+    sides = asks.any() and not asks.all()
+    want, got = simhash.Forest(), simhash.Forest()
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len(np.intersect1d(a, b))
+            if (not sides or asks[i] != asks[j]) and both and both >= 0.8 * (len(a) + len(b) - both):
+                want.join(i, j)
+    links = nearcopies.similar_links(sets, asks, 0.8)
+    assert all(got.join(i, j) for i, j in links)  # a forest: no link joins what is joined
+    classes = lambda f: sorted(sorted(k for k in range(len(sets)) if f.root(k) == r) for r in {f.root(k) for k in range(len(sets))})
+    assert classes(got) == classes(want)
+
+
+def test_copies_need_few_turns():
+    """Of many copies of one text only those tried first, and what is not like them, are compared with all."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 10**9, 200).astype("u8")
+    sets = [np.unique(np.append(base, rng.integers(0, 10**9, 5).astype("u8"))) for _ in range(2000)]
+    sets += [np.unique(np.concatenate([base[:100], rng.integers(0, 10**9, 100).astype("u8")])) for _ in range(5)]
+    turns, real = [], np.bincount
+
+    def counted(x, **more):
+        turns.append(len(x))
+        return real(x, **more)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(nearcopies.np, "bincount", counted)
+        assert len(nearcopies.similar_links(sets, np.zeros(len(sets), bool), 0.8)) == 1999
+    assert len(turns) <= 1 + nearcopies.TRIED
+
+
 def test_near_copies_of_one_text(spark):
     """Edited copies of a text, and texts that share half of its words: the copies meet, the others stay."""
     rng = np.random.default_rng(5)
