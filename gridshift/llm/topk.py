@@ -19,12 +19,16 @@ _EPS = 1e-9
 
 
 class Node:
-    """A page: its routing object, covering radius, and either children or rows, each with its distance to the routing object."""
+    """A page: its routing object, covering radius, and either children or rows, each with its distance to the routing object.
 
-    __slots__ = ("center", "radius", "children", "rows", "apart")
+    A leaf's rows lie together in the tree's table, from ``first`` on, the nearest to the routing object first."""
 
-    def __init__(self, center, radius, children, rows, apart):
-        self.center, self.radius, self.children, self.rows, self.apart = center, radius, children, rows, apart
+    __slots__ = ("center", "radius", "children", "first", "apart", "centers", "radii")
+
+    def __init__(self, center, radius, children, first, apart):
+        self.center, self.radius, self.children, self.first, self.apart = center, radius, children, first, apart
+        self.centers = np.array([c.center for c in children or ()])
+        self.radii = np.array([c.radius for c in children or ()])
 
 
 class MTree:
@@ -40,7 +44,10 @@ class MTree:
         norms = (self.rows * self.rows).sum(axis=1)
         self.top = float(norms.max()) if len(norms) else 0.0
         self.points = np.concatenate([self.rows, np.sqrt(self.top - norms)[:, None]], axis=1)
+        self.leaves: list[np.ndarray] = []
         self.root = self._build(np.arange(len(self.rows)))
+        order = np.concatenate(self.leaves)
+        self.rows, self.ids = self.rows[order], self.ids[order]
 
     def _apart(self, center: np.ndarray, at: np.ndarray) -> np.ndarray:
         d = self.points[at] - center
@@ -52,7 +59,9 @@ class MTree:
         radius = float(apart.max()) if len(at) else 0.0
         if len(at) <= PAGE:
             near = np.argsort(apart, kind="stable")
-            return Node(center, radius, None, at[near], apart[near])
+            first = sum(map(len, self.leaves))
+            self.leaves.append(at[near])
+            return Node(center, radius, None, first, apart[near])
         seeds = [int(np.argmax(apart))]
         dist = self._apart(self.points[at[seeds[0]]], at)
         own = np.zeros(len(at), "i4")
@@ -94,9 +103,11 @@ class MTree:
             far = limit()
             if node.children is None:
                 # |d(q, center) - d(row, center)| bounds d(q, row): rows outside the ring need no product
-                a, b = np.searchsorted(node.apart, (d - far, d + far)) if far < math.inf else (0, len(node.rows))
-                at = node.rows[max(0, a - 1) : b + 1]
+                a, b = np.searchsorted(node.apart, (d - far, d + far)) if far < math.inf else (0, len(node.apart))
+                at = slice(node.first + max(0, a - 1), node.first + min(len(node.apart), b + 1))
                 score = self.rows[at] @ query
+                if not len(score) or score.max() < least:
+                    continue
                 ids = self.ids[at]
                 keep = (score >= least) & (ids != own)
                 if keep.any():
@@ -107,10 +118,10 @@ class MTree:
                     if len(best_s) == k:
                         least = float(best_s[-1])
                 continue
-            for c, up in zip(node.children, node.apart.tolist(), strict=True):
-                if abs(d - up) - c.radius > far:  # by the stored parent distance alone
-                    continue
-                dc = math.sqrt(((point - c.center) ** 2).sum())
+            some = np.flatnonzero(np.abs(d - node.apart) - node.radii <= far)  # by the stored parent distance alone
+            apart = np.sqrt(((node.centers[some] - point) ** 2).sum(axis=1))
+            for c, dc in zip(some.tolist(), apart.tolist(), strict=True):
+                c = node.children[c]
                 if (r := reach(dc - c.radius)) >= least:
                     n += 1
                     heapq.heappush(heap, (-r, n, c, dc))
