@@ -105,8 +105,8 @@ def packed(docs: DataFrame, window: int = WINDOW, path: str | None = None, block
         tok, pieces, held = tokenizer(path), [], 0
         row = TaskContext.get().partitionId() << 40
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = tok.ids(text.as_py() or "") + end
+            for doc, ids in zip(b.column(0).to_pylist(), tok.many(b.column(1)), strict=True):
+                ids += end
                 for at in range(0, len(ids) // 4, window):
                     pieces.append((doc, at, ids[4 * at : 4 * (at + window)]))
                 held += len(ids) // 4

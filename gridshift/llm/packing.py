@@ -50,8 +50,8 @@ def cut(docs: DataFrame, window: int = WINDOW, path: str | None = None, order: s
         tok = tokenizer(path)
         for b in batches:
             out = []
-            for doc, text, place in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                ids = tok.ids(text.as_py() or "") + end
+            for doc, ids, place in zip(b.column(0).to_pylist(), tok.many(b.column(1)), b.column(2).to_pylist(), strict=True):
+                ids += end
                 n = len(ids) // 4
                 for at in range(0, n, window):
                     part = ids[4 * at : 4 * (at + window)]

@@ -6,10 +6,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from gridshift.llm import ann, binary, common, html, langid, mixing, nearcopies, packing, quality, queries, sharding, simhash, topk
+from gridshift.llm import ann, binary, common, html, langid, mixing, nearcopies, packing, quality, queries, sharding, simhash, tokens, topk
 from gridshift.llm.components import components
 from gridshift.llm.tokens import tokenizer, tokenizer_path
 
@@ -57,6 +58,21 @@ def test_token_ids_of_all_low_characters():
         assert tok.ids(t) == tok.library(t), repr(t)
 
 
+def test_token_ids_of_marks_behind_words(monkeypatch):
+    """Runs of marks behind and before words, in texts that share runs, are the library's, however the runs are cut."""
+    tok, rng = tokenizer(tokenizer_path()), np.random.default_rng(12)
+    words = ["Word", "É", "naïve", "ſt", "x1", "1", "a_b", "it's", "don't'", ""]
+    marks = ["", ".", ",!!", "***", "%%%", "'", "''s", "_", "<", "|>", "...?", "(", ")\"", "~`", "&;", "§", "'ll,"]
+    texts = [None, "", " ", "İ ₂", "<|endoftext|> a"]
+    for n in rng.integers(1, 30, 800):
+        texts.append(" ".join(f"{m}{w}{o}" for w, m, o in zip(rng.choice(words, n), rng.choice(marks, n), rng.choice(marks, n))))
+    expected = [tok.library(t or "") for t in texts]
+    for run in (1, 500, 1 << 20):
+        monkeypatch.setattr(tokens, "RUN_CHARS", run)
+        assert list(tok.many(pa.array(texts))) == expected
+    assert list(tok.many(pa.array([], pa.string()))) == []
+
+
 def check_packing(rows, texts):
     by_seq, by_doc = defaultdict(list), defaultdict(list)
     for r in rows:
