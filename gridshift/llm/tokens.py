@@ -14,7 +14,7 @@ if TYPE_CHECKING:
 #: A worker keeps at most this many words that are not letters, and marks, with their ids; beyond that it starts anew.
 KEPT_WORDS = 300_000
 #: Characters of the texts whose words are merged in one call, about; a longer text is a run of its own.
-RUN_CHARS = 8 << 20
+RUN_CHARS = 2 << 20
 #: ASCII marks that are cut off behind a word of letters; the apostrophe binds the letters after it.
 TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: The letters that a plain text can have.
