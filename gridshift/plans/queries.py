@@ -11,6 +11,7 @@ from ..api import rechunk
 from ..functions import geometry
 from ..functions.encoding import pack, unpack
 from ..meta import ArrayMeta
+from ..operators import pipeline as pipelines
 from ..operators import regrid as R
 from ..sources import files, frames, store, zarr
 from ..sources.frames import ArrayFrame, GroupFrame
@@ -317,3 +318,108 @@ def overwrite_target(spark, sf_dir):
     rechunk(frames.generate(spark, ArrayMeta((9, 9), (3, 9), "f4")), (3, 3), 4000, f"{at}/target").execute()
     few = frames.from_lists(table(spark, sf_dir, "embeddings").where("vec_id < 20"), "vec_id", "embedding", ArrayMeta((20, DIMS), (20, DIMS), "f4", attrs={"_ARRAY_DIMENSIONS": ["row", "part"]}))
     return rechunk(few, {"row": 10, "part": 16}, "64KB", f"{at}/target", {"overwrite": True}, strict_temp=False).execute().cells()
+
+
+@query(CELLS + "SELECT i0, i1, CAST(round_even(v::DOUBLE * 100, 0) AS BIGINT) / 100::DOUBLE AS v FROM c WHERE i0 < 64")
+def zarr_filters(spark, sf_dir):
+    """Cells kept as two-byte numbers by a filter, and read back."""
+    few = table(spark, sf_dir, "embeddings").where("vec_id < 64")
+    a = frames.from_lists(few, "vec_id", "embedding", ArrayMeta((64, DIMS), (16, DIMS), "f8"))
+    at = f"{files.scratch(spark, 'filters')}/array"
+    zarr.write_array(a, at, filters=[{"id": "fixedscaleoffset", "scale": 100, "offset": 0, "dtype": "<f8", "astype": "<i2"}])
+    return zarr.open_array(spark, at).cells()
+
+
+@query("SELECT * FROM (VALUES ('1KB', 1000), ('1.5 MB', 1500000), ('2GiB', 2147483648), ('64 kib', 65536), ('100', 100)) t(said, bytes)")
+def memory_limits(spark, sf_dir):
+    """Limits as text, in bytes."""
+    said = ("1KB", "1.5 MB", "2GiB", "64 kib", "100")
+    return spark.createDataFrame([(s, planner.parse_bytes(s)) for s in said], "said string, bytes long")
+
+
+@query(CELLS + ALL + " WHERE i0 < 40")
+def local_executor(spark, sf_dir):
+    """The executor that copies on the driver, by its registered name."""
+    at = files.scratch(spark, "local")
+    few = frames.from_lists(table(spark, sf_dir, "embeddings").where("vec_id < 40"), "vec_id", "embedding", ArrayMeta((40, DIMS), (40, DIMS), "f4"))
+    return rechunk(few, (7, 16), "64KB", f"{at}/target", strict_temp=False, executor="local").execute().cells()
+
+
+@query(CELLS + "SELECT i0, i1, v FROM c WHERE i0 < 80")
+def planned_rows(spark, sf_dir):
+    """The lazy DataFrame that a plan is, before anything is written."""
+    at = files.scratch(spark, "plan")
+    few = frames.from_lists(table(spark, sf_dir, "embeddings").where("vec_id < 80"), "vec_id", "embedding", ArrayMeta((80, DIMS), (20, DIMS), "f4"))
+    made = rechunk(few, (80, 4), "64KB", f"{at}/target", strict_temp=False)
+    return ArrayFrame(few.meta.with_(chunks=(80, 4)), made.plan).cells()
+
+
+@query("SELECT 'label' AS \"array\", vec_id // 64 AS k0, count(*) AS cells, CAST(sum(label) AS BIGINT) AS total FROM embeddings GROUP BY 2 UNION ALL SELECT 'first/copy', vec_id // 33, count(*), CAST(sum(label) AS BIGINT) FROM embeddings GROUP BY 2")
+def into_group(spark, sf_dir):
+    """Arrays copied one by one into a group that is there already, under names of their own; None keeps the chunks."""
+    v = table(spark, sf_dir, "embeddings")
+    n = v.agg(F.max("vec_id")).first()[0] + 1
+    a = frames.from_column(v, "vec_id", "label", ArrayMeta((n,), (64,), "i4"))
+    at = files.scratch(spark, "into")
+    store.create_group(spark, f"{at}/group", {"title": "labels"})
+    into = store.open_group(spark, f"{at}/group")
+    rechunk(a, None, "8KB", into, strict_temp=False, array_name="label").execute()
+    rechunk(a, (33,), "8KB", into, strict_temp=False, array_name="first/copy").execute()
+    out = None
+    for name, got in store.open_group(spark, f"{at}/group").arrays.items():
+        s = got.df.select(F.lit(name).alias("array"), "k0", F.size("payload").cast("long").alias("cells"), F.aggregate("payload", F.lit(0).cast("long"), lambda x, y: x + y).alias("total"))
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+@query("SELECT * FROM (VALUES ('array in group without name', 'ValueError'), ('array_name with group', 'ValueError'), ('existing target', 'ValueError'), ('no temporary store', 'ValueError'), ('source overwritten', 'ValueError'), ('unknown array', 'KeyError'), ('unknown dimension', 'KeyError'), ('unknown executor', 'ValueError'), ('unknown option', 'ValueError'), ('unknown source', 'ValueError')) t(misuse, error)")
+def refused_calls(spark, sf_dir):
+    """What ``rechunk`` refuses, and by which error."""
+    at = files.scratch(spark, "refused")
+    a = store.save_array(frames.generate(spark, ArrayMeta((8, 8), (2, 8), "f4", attrs={"_ARRAY_DIMENSIONS": ["x", "y"]})), f"{at}/source")
+    store.create_group(spark, f"{at}/group")
+    rechunk(a, (2, 8), 1000, f"{at}/there").execute()
+    group = GroupFrame({"a": a})
+    calls = {
+        "array in group without name": lambda: rechunk(a, (8, 2), 1000, store.open_group(spark, f"{at}/group"), temp_store=f"{at}/temp"),
+        "array_name with group": lambda: rechunk(group, {"a": (8, 2)}, 1000, f"{at}/new", array_name="a"),
+        "existing target": lambda: rechunk(a, (2, 8), 1000, f"{at}/there"),
+        "no temporary store": lambda: rechunk(a, (8, 2), 64, f"{at}/new"),
+        "source overwritten": lambda: rechunk(a, (8, 2), 1000, f"{at}/source", {"overwrite": True}, temp_store=f"{at}/temp"),
+        "unknown array": lambda: rechunk(group, {"b": (8, 2)}, 1000, f"{at}/new"),
+        "unknown dimension": lambda: rechunk(a, {"x": 8, "z": 2}, 1000, f"{at}/new"),
+        "unknown executor": lambda: rechunk(a, (2, 8), 1000, f"{at}/new", executor="nothing"),
+        "unknown option": lambda: rechunk(a, (2, 8), 1000, f"{at}/new", {"colour": 1}),
+        "unknown source": lambda: rechunk([1, 2], (1,), 1000, f"{at}/new", spark=spark),
+    }
+    found = []
+    for name, call in calls.items():
+        try:
+            call()
+            found.append((name, "none"))
+        except Exception as e:
+            found.append((name, type(e).__name__))
+    return spark.createDataFrame(found, "misuse string, error string")
+
+
+@query("SELECT k AS \"key\", k * k AS square FROM range(20) t(k)")
+def user_stages(spark, sf_dir):
+    """Stages of a user's own over keys, one after the other: a stage reads what all keys of the one before wrote."""
+    at = files.scratch(spark, "stages")
+
+    def write(key, config):
+        from pyarrow import fs
+
+        where, root = fs.FileSystem.from_uri(config)
+        with where.open_output_stream(f"{root}/{key}.csv") as out:
+            out.write(f"{key},{key * key}\n".encode())
+
+    def check(config):
+        if len(spark.read.text(config).inputFiles()) != 20:
+            raise ValueError("a stage began before the one before it was done")
+
+    files.write_text(spark, f"{at}/_made", "")
+    run = pipelines.executor("spark")
+    stages = [pipelines.Stage(write, "write", range(20)), pipelines.Stage(check, "check")]
+    run.run_pipelines(run.pipelines_to_plan([pipelines.Pipeline(stages, at)]), spark)
+    return spark.read.schema("key long, square long").csv(at)
