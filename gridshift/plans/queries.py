@@ -101,9 +101,9 @@ def rechunk_fragments(spark, sf_dir):
 
 @query(CELLS + ALL)
 def multistage_roundtrip(spark, sf_dir):
-    """A plan of several exchanges, carried out."""
-    a = embeddings(spark, sf_dir, (20, DIMS))
-    return R.regrid_in_stages(a, (a.meta.shape[0], 1), 256, 20_480).cells()
+    """The plan for a least and a most memory, carried out: to column chunks, as tall as the most memory holds."""
+    a, most = embeddings(spark, sf_dir, (20, DIMS)), 20_480
+    return R.regrid_in_stages(a, (min(most // a.meta.itemsize, a.meta.shape[0]), 1), 256, most).cells()
 
 
 @query(CELLS + SUMMARY.format(50, 64))
